@@ -7,6 +7,7 @@ gives every word's hash in a few passes, and a second polynomial over the word h
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -81,6 +82,9 @@ class Stage:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        # shuffle files of the written plan are dead now; Spark removes them once the driver collects its garbage
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import fingerprints, simhash, substring_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(spark, _docs(spark, sf_dir)).drop("kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _docs(spark, sf_dir))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(spark, _docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash": op6_simhash}
+    return {
+        "op5_substring_dedup": op5_substring_dedup,
+        "op6_simhash": op6_simhash,
+        "op8_fingerprints": op8_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
