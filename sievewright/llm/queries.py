@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, simhash, substring_dedup
+from . import decontamination, fingerprints, packing, simhash, substring_dedup
+from .tokenizer_files import tokenizer_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated_pairs(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(spark, _docs(spark, sf_dir)).drop("kept")
 
@@ -27,6 +36,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_decontamination": op3_decontamination,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_simhash": op6_simhash,
         "op8_fingerprints": op8_fingerprints,
