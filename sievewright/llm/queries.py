@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, packing, simhash, substring_dedup, toxicity
+from . import decontamination, fingerprints, lm_scoring, packing, simhash, substring_dedup, toxicity
 from .tokenizer_files import tokenizer_path
 
 
@@ -38,6 +38,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scores(spark, _docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash": op6_simhash,
         "op8_fingerprints": op8_fingerprints,
         "op9_toxicity": op9_toxicity,
+        "op10_lm_scoring": op10_lm_scoring,
     }
 
 
