@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, lm_scoring, packing, simhash, substring_dedup, toxicity
+from . import decontamination, fingerprints, license_scan, lm_scoring, packing, simhash, substring_dedup, token_counts, toxicity
 from .tokenizer_files import tokenizer_path
 
 
@@ -14,6 +14,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(spark, _docs(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _docs(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
@@ -30,6 +34,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, _docs(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, _docs(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(spark, _docs(spark, sf_dir))
 
@@ -44,10 +52,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_decontamination": op3_decontamination,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_simhash": op6_simhash,
+        "op7_license_scan": op7_license_scan,
         "op8_fingerprints": op8_fingerprints,
         "op9_toxicity": op9_toxicity,
         "op10_lm_scoring": op10_lm_scoring,
