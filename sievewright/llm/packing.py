@@ -54,25 +54,62 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return where, offset, fill
 
 
-class _WordIds:
-    """Token ids of texts as little-endian 32-bit bytes. The tokenizer drops white space and never joins across it, so
-    ids are remembered by white-space-delimited word; texts with other separators are encoded whole."""
+#: Letters whose lower case and byte mapping are beyond doubt; a word of these alone is a single pre-token.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+\\Z")
+
+
+def _byte_alphabet() -> dict[int, int]:
+    """The code point that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+class _WordIds(dict):
+    """Token ids, as little-endian 32-bit bytes, of white-space-delimited words, remembered by word.
+
+    The tokenizer drops white space, never joins across it, lower-cases, and separates letters from punctuation. So a
+    word is encoded as its letters, remembered by lower case, and its closing full stops and commas; any other word goes
+    through the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer, self.cores, self.tails, self.table = Tokenizer.from_file(path), {}, {}, _byte_alphabet()
+        self.model = self.tokenizer.model
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        core = word.rstrip(".,")
+        low = core.lower()
+        if _PLAIN.match(low):
+            ids = self.cores.get(low)
+            if ids is None:
+                shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.table)
+                ids = self.cores[low] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            if len(core) < len(word):
+                tail = word[len(core) :]
+                more = self.tails.get(tail)
+                if more is None:
+                    more = self.tails[tail] = self.whole(tail)
+                ids += more
+        else:
+            ids = self.whole(word)
+        self[word] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for ws in words if ws for w in ws if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False))))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) if ws is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for ws, t in zip(words, texts)]
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if len(self.cores) > CACHE_WORDS:
+            self.cores.clear()
+            self.tails.clear()
+        get = self.__getitem__
+        return [self.whole(t) if _ODD_SPACE.search(t) else b"".join(map(get, t.split())) for t in texts]
 
 
 def _packed(tokenizer: str, capacity: int, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, license_scan, lm_scoring, packing, simhash, substring_dedup, token_counts, toxicity
+from . import chat_format, decontamination, fingerprints, license_scan, lm_scoring, packing, simhash, substring_dedup, token_counts, toxicity
 from .tokenizer_files import tokenizer_path
 
 
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated_pairs(spark, _docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted_digests(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(spark, _docs(spark, sf_dir)).drop("kept")
 
@@ -55,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_decontamination": op3_decontamination,
+        "op4_chat_format": op4_chat_format,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_simhash": op6_simhash,
         "op7_license_scan": op7_license_scan,
