@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,17 @@ def with_segments(docs: DataFrame, text: str = "text", out: str = "segments") ->
     paragraphs are the maximal runs of other non-blank lines outside the blocks.
     """
     lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    d = docs.withColumn("_lines", lines)
-    d = d.withColumn("_fences", F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), fence_marker(x).alias("m"))), lambda f: f["m"] != ""))
+    return docs.withColumn(out, _let(lines, _of_lines))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: a column of its own could be inlined into a lambda, once an element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(lines: Column) -> Column:
+    """array<struct<a, b>>: first and last lines (from 0) of the fenced blocks."""
+    fences = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), fence_marker(x).alias("m"))), lambda f: f["m"] != "")
     start = F.struct(F.lit("").alias("m"), F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("done"))
 
     def fold(s: Column, f: Column) -> Column:
@@ -43,22 +54,34 @@ def with_segments(docs: DataFrame, text: str = "text", out: str = "segments") ->
         closed = F.struct(F.lit("").alias("m"), F.lit(0).alias("at"), F.concat(s["done"], F.array(block)).alias("done"))
         return F.when(s["m"] == "", opened).when(s["m"] == f["m"], closed).otherwise(s)
 
-    last = F.size("_lines") - 1
-    rest = lambda s: F.when(s["m"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["at"].alias("a"), last.alias("b")))))
-    d = d.withColumn("_blocks", F.aggregate("_fences", start, fold, rest))
-    outside = lambda i: ~F.exists("_blocks", lambda b: i.between(b["a"], b["b"]))
-    d = d.withColumn("_prose", F.transform("_lines", lambda x, i: x.rlike(rf"[^{SPACE}]") & outside(i)))
-    places = F.sequence(F.lit(0), last)
-    prose = lambda i: F.coalesce(F.get("_prose", i), F.lit(False))
-    d = d.withColumn("_starts", F.filter(places, lambda i: prose(i) & ~prose(i - 1))).withColumn("_ends", F.filter(places, lambda i: prose(i) & ~prose(i + 1)))
-    span = lambda kind: lambda a, b: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
-    text_spans = F.zip_with("_starts", "_ends", span("text"))
-    code_spans = F.transform("_blocks", lambda b: span("code")(b["a"], b["b"]))
-    d = d.withColumn("_spans", F.array_sort(F.concat(text_spans, code_spans)))
-    body = lambda s: F.regexp_replace(F.array_join(F.slice("_lines", s["a"] + 1, s["b"] - s["a"] + 1), "\n"), r"^\n+|\n+\z", "")
-    d = d.withColumn("_bodies", F.transform("_spans", body))
-    made = F.transform("_spans", lambda s, i: segment(F.get("_bodies", i), i, s["kind"], s["a"] + 1, s["b"] + 1))
-    return d.withColumn(out, made).drop("_lines", "_fences", "_blocks", "_prose", "_starts", "_ends", "_spans", "_bodies")
+    def rest(s: Column) -> Column:
+        open_block = F.struct(s["at"].alias("a"), (F.size(lines) - 1).alias("b"))
+        return F.when(s["m"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(open_block)))
+
+    return F.aggregate(fences, start, fold, rest)
+
+
+def _of_lines(lines: Column) -> Column:
+    return _let(_blocks(lines), lambda blocks: _of_blocks(lines, blocks))
+
+
+def _of_blocks(lines: Column, blocks: Column) -> Column:
+    prose = F.transform(lines, lambda x, i: x.rlike(rf"[^{SPACE}]") & ~F.exists(blocks, lambda b: i.between(b["a"], b["b"])))
+    return _let(prose, lambda p: _of_prose(lines, blocks, p))
+
+
+def _of_prose(lines: Column, blocks: Column, prose: Column) -> Column:
+    places, at = F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.coalesce(F.get(prose, i), F.lit(False))
+    starts = F.filter(places, lambda i: at(i) & ~at(i - 1))
+    ends = F.filter(places, lambda i: at(i) & ~at(i + 1))
+    span = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
+    spans = F.concat(F.zip_with(starts, ends, lambda a, b: span(a, b, "text")), F.transform(blocks, lambda b: span(b["a"], b["b"], "code")))
+
+    def made(s: Column, i: Column) -> Column:
+        body = F.regexp_replace(F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"] + 1), "\n"), r"^\n+|\n+\z", "")
+        return _let(body, lambda x: segment(x, i, s["kind"], s["a"] + 1, s["b"] + 1))
+
+    return F.transform(F.array_sort(spans), made)
 
 
 def split_segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
