@@ -279,8 +279,8 @@ fills as (select i.conv_id, list_reduce(list({{'place': group_id, 'cost': cost::
 filled as (select conv_id, unnest(f.kept) as group_id from fills),
 marked as (select m.*, m.mandatory or f.group_id is not null as kept from must m left join filled f on f.conv_id = m.conv_id and f.group_id = m.group_id),
 islands as (select *, sum(kept::int) over (partition by conv_id order by index) as run from marked),
-notes as (select conv_id, min(index) as at, '[' || count(*) || ' earlier messages elided]' as text from islands where not kept group by conv_id, run),
-sent as (select conv_id, index as at, index, role, text, tokens from marked where kept union all select conv_id, at, -1, 'system', text, {_est('text')} from notes),
+notes as (select conv_id, min(index) as pos, '[' || count(*) || ' earlier messages elided]' as text from islands where not kept group by conv_id, run),
+sent as (select conv_id, index as pos, index, role, text, tokens from marked where kept union all select conv_id, pos, -1, 'system', text, {_est('text')} from notes),
 pins as (select distinct m.conv_id, i.id from marked m join ids i on i.conv_id = m.conv_id and i.index = m.index where m.kept and not m.safe),
 pinned as (select conv_id, string_agg(id, ',' order by id) as pinned, count(*) as n from pins group by all)"""
 
@@ -316,7 +316,7 @@ select a.doc_id, round(len(list_intersect(a.s, b.s))::double / (len(a.s) + len(b
     "conversation_turns": f"with {_MSGS} select conv_id, index, role, turn_id, tokens from turned",
     "recent_window": f"with {_MSGS}, w as (select *, max(turn_id) over (partition by conv_id) as last from turned) select conv_id, index from w where turn_id > last - 2",
     "tool_groups": f"with recursive {_MSGS}, {_GROUPS} select * from groups",
-    "prune_conversations": f"with recursive {_MARKED} select conv_id, cast(row_number() over (partition by conv_id order by at) - 1 as int) as position, index, role, text, tokens from sent",
+    "prune_conversations": f"with recursive {_MARKED} select conv_id, cast(row_number() over (partition by conv_id order by pos) - 1 as int) as position, index, role, text, tokens from sent",
     "prune_summary": f"""with recursive {_MARKED}, ins as (select conv_id, cast(sum(tokens) as int) as original_tokens, cast(count(*) as int) as messages_in,
 count(*) filter (where kept and not mandatory) as added, count(*) filter (where not kept) as dropped from marked group by all),
 outs as (select conv_id, cast(sum(tokens) as int) as final_tokens, cast(count(*) as int) as messages_out from sent group by all)

@@ -54,7 +54,6 @@ def parse_message(raw: dict) -> tuple[str | None, str, list[str], list[str]]:
     return raw.get("role", "user"), _joined(parts), [str(i) for i in calls], [str(i) for i in results]
 
 
-@F.pandas_udf(_PARSED)
 def _parse(raws: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for raw in raws:
         yield pd.DataFrame([parse_message(json.loads(r)) for r in raw], columns=["role", "text", "tool_call_ids", "tool_result_ids"])
@@ -62,7 +61,7 @@ def _parse(raws: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def parse_messages(rows: DataFrame) -> DataFrame:
     """Messages from rows (conv_id, index, raw): raw, one message as JSON, is kept as it is."""
-    parsed = rows.withColumn("p", _parse("raw"))
+    parsed = rows.withColumn("p", F.pandas_udf(_parse, _PARSED)("raw"))
     return parsed.select("conv_id", "index", "p.role", "p.text", estimate_tokens("p.text").alias("tokens"), "p.tool_call_ids", "p.tool_result_ids", "raw")
 
 
