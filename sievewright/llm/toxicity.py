@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Stage, arrow_map, ids_and_texts, slices
 
 #: Labelled training rows that the lexicon and the model are fitted on, at most; and learned terms, at most.
-SAMPLE_ROWS, LEARNED_TERMS = 20_000, 4_000
+SAMPLE_ROWS, LEARNED_TERMS = 10_000, 500
 MIN_DOCS, MIN_PURITY, MIN_STEM, CONTEXT = 3, 0.8, 4, 6
 #: Words whose hits a task remembers.
 CACHE_WORDS = 400_000
@@ -50,12 +50,32 @@ class Trie:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = (t, stem, w)
-        halves = [(t[:3], t[-3:]) for t, _, _ in terms if len(t) >= 6]
-        self.heads, self.tails = {a for a, _ in halves}, {b for _, b in halves}
+        # the automaton walks a trie of the terms that may be misspelt; one of a term's parts is left whole by its edits
+        self.loose: dict = {}
+        self.heads: set[tuple[int, str]] = set()
+        self.tails: set[tuple[int, str]] = set()
+        self.middles: list[tuple[int, int, str]] = []
+        for t, stem, w in terms:
+            k = 0 if stem else self.allowed(t)
+            if not k:
+                continue
+            node = self.loose
+            for c in t:
+                node = node.setdefault(c, {})
+            node[""] = (t, stem, w)
+            part = len(t) // (k + 1)
+            for n in range(len(t) - k, len(t) + k + 1):
+                self.heads.add((n, t[:part]))
+                self.tails.add((n, t[-part:]))
+            if k > 1:
+                self.middles.append((len(t), k, t[part : len(t) - part]))
+        # neighbours swapped: listed, since a swap may touch both halves of a term
+        self.swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: w for t, stem, w in terms if not stem and len(t) > 4 for i in range(len(t) - 1) if t[i] != t[i + 1]}
+        self.parts = sorted({len(x) for _, x in self.heads | self.tails})
 
     @staticmethod
     def allowed(term: str) -> int:
-        return 0 if len(term) < 6 else 1 if len(term) < 10 else 2
+        return 0 if len(term) < 6 else 1 if len(term) < 12 else 2
 
     def stem(self, word: str) -> float | None:
         node = self.root
@@ -71,7 +91,7 @@ class Trie:
     def fuzzy(self, word: str, most: int = 2) -> tuple[float, int] | None:
         """Weight and distance of the nearest term within its allowed distance: automaton states walk the trie."""
         best: tuple[int, float] | None = None
-        todo = [(self.root, list(range(len(word) + 1)), None, "")]
+        todo = [(self.loose, list(range(len(word) + 1)), None, "")]
         while todo:
             node, row, before, last = todo.pop()
             for c, child in node.items():
@@ -93,8 +113,12 @@ class Trie:
         return None if best is None else (best[1], best[0])
 
     def may_be_fuzzy(self, word: str) -> bool:
-        """One edit leaves the first or the last three letters of a term of six or more whole."""
-        return len(word) >= 5 and (word[:3] in self.heads or word[-3:] in self.tails)
+        n = len(word)
+        if n < 5:
+            return False
+        if any((n, word[:k]) in self.heads or (n, word[-k:]) in self.tails for k in self.parts):
+            return True
+        return any(abs(n - m) <= k and x in word for m, k, x in self.middles)
 
     def hit(self, word: str, common: frozenset[str]) -> tuple[float, float]:
         """(weight of an exact or stem hit, weight of a misspelt hit) of one lower-case word."""
@@ -108,7 +132,11 @@ class Trie:
             if got is not None:
                 return got, 0.0
         v = w.translate(_LEET)
-        if w in common or not self.may_be_fuzzy(v):
+        if w in common:
+            return 0.0, 0.0
+        if v in self.swapped:
+            return 0.0, self.swapped[v]
+        if not self.may_be_fuzzy(v):
             return 0.0, 0.0
         near = self.fuzzy(v)
         return (0.0, near[0] / near[1]) if near and near[1] else (0.0, near[0]) if near else (0.0, 0.0)
@@ -177,7 +205,8 @@ def _training_rows(docs: DataFrame, labels: DataFrame, stage: Stage) -> DataFram
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    return stage.keep(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")
+    kept = stage.keep(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")
+    return kept.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _weight(bad: int, n: int) -> float:
@@ -190,7 +219,11 @@ def learn_terms(rows: DataFrame) -> tuple[list[tuple[str, bool, float]], frozens
 
     Counts are of documents, for stems of pairs of a document and a word. What comes to the driver is bounded: LEARNED_TERMS words and stems, as many common words.
     """
-    words = rows.select("doc_id", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), _LEARN))).alias("w")).where(F.length("w") >= 3)
+    found = rows.select("toxic", F.array_distinct(F.split(F.lower("text"), _LEARN)).alias("ws"))
+    # copies and near copies would make every word of a toxic text look toxic: of texts whose three least word hashes
+    # agree one is counted
+    found = found.withColumn("sketch", F.slice(F.array_sort(F.transform("ws", lambda w: F.xxhash64(w))), 1, 3)).groupBy("sketch", "toxic").agg(F.first("ws").alias("ws"))
+    words = found.select("toxic", F.explode("ws").alias("w")).where(F.length("w") >= 3)
     def pure(x: DataFrame) -> list:
         return x.where((F.col("bad") >= MIN_DOCS) & (F.col("bad") >= MIN_PURITY * F.col("n"))).orderBy(F.desc("bad"), "w").limit(LEARNED_TERMS).collect()
 
@@ -206,7 +239,7 @@ def learn_terms(rows: DataFrame) -> tuple[list[tuple[str, bool, float]], frozens
     found = {r["w"]: r["bad"] for r in exact}
     weight = {r["w"]: _weight(r["bad"], r["n"]) for r in exact}
     stem_rows = sorted((r for r in pure(stems) if r["bad"] >= enough), key=lambda r: (len(r["w"]), r["w"]))
-    common = frozenset(r["w"] for r in by_word.where("n - bad >= 2").orderBy(F.desc("n"), "w").limit(50 * LEARNED_TERMS).collect())
+    common = frozenset(r["w"] for r in by_word.where("n - bad >= 2").orderBy(F.desc("n"), "w").limit(100 * LEARNED_TERMS).collect())
     kept: list[tuple[str, bool, float]] = []
     taken: set[str] = set()
     for r in stem_rows:
