@@ -110,7 +110,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, stage: Stage) -> DataFr
     repeated = mini.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core")
     found = stage.keep(mini.join(repeated, "core").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "minimizers")
     edges = stage.keep(arrow_map(texts.join(found, "doc_id"), _edges, "key long, doc_id long, start int"), "edges")
+    stage.drop("minimizers")
     first = edges.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = stage.keep(first, "first")  # lets the aggregate's shuffle files go before the join writes its own
     again = edges.join(first, "key").where("doc_id <> f.doc_id or start <> f.start").select("doc_id", "start", F.col("f.doc_id").alias("src"), F.col("f.start").alias("src_start"), "c")
     order = W.partitionBy("doc_id").orderBy("start")
     before = {x: F.lag(x).over(order) for x in ("start", "src", "src_start", "c")}
@@ -123,6 +125,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, stage: Stage) -> DataFr
     )
     paths = stage.keep(paths.drop("path"), "paths")
     stage.drop("edges")
+    stage.drop("first")
     return _verified(texts, paths, stage)
 
 
