@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, truncate_to_tokens
 from ..operators.neardup import dedupe_segments
 from ..operators.relevance import head_tail, select_by_score
-from ..operators.segments import SEPARATOR, split_segments, with_segments
+from ..operators.segments import SEPARATOR, split_segments
 
 #: A stage takes the segments left and the options, and returns those that stay.
 Stage = Callable[..., DataFrame]
@@ -70,12 +71,14 @@ def squeeze(
 ) -> DataFrame:
     """(key, text, original_tokens, final_tokens, segments_in, segments_out, notes) for every document; keys are unique.
 
-    Unknown strategies raise before any work. The result fits a budget of 0 or more; a negative one gives empty texts.
+    Unknown strategies raise before any work. The segments are persisted, in memory and on disk, until the session's cache
+    is cleared. The result fits a budget of 0 or more; a negative one gives empty texts.
     """
     names = parse_strategy(strategy)
     docs = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))
-    heads = with_segments(docs).select(key, estimate_tokens("text").alias("original_tokens"), F.size("segments").alias("segments_in"))
-    left = split_segments(docs, key)
+    heads = docs.select(key, estimate_tokens("text").alias("original_tokens"))
+    # every stage reads the segments again; cutting and estimating them once is what persisting them is for
+    left = split_segments(docs, key).persist(StorageLevel.MEMORY_AND_DISK)
     dropped = []
     for k, name in enumerate(names):
         stays = STRATEGIES[name](left, budget=budget, head_ratio=head_ratio, jaccard=jaccard, shingle_size=shingle_size, key=key)
@@ -86,6 +89,7 @@ def squeeze(
     for d in dropped:
         out = out.join(d, key, "left")
     n = [F.coalesce(f"n{k}", F.lit(0)) for k in range(len(names) + 1)]
+    out = out.withColumn("segments_in", n[0].cast("int"))
     notes = [F.when(n[k] > n[k + 1], F.format_string(_NOTES[name], n[k] - n[k + 1])) for k, name in enumerate(names) if _NOTES[name]]
     none = F.array().cast("array<struct<index:int,text:string>>")
     out = out.withColumn("whole", rebuild(F.coalesce("kept", none), F.col("segments_in"), marker)).withColumn("whole_tokens", estimate_tokens("whole"))
