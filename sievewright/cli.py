@@ -6,37 +6,43 @@ import argparse
 import json
 import sys
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .plans.squeeze import parse_strategy, squeeze
 from .plans.transcript import prune_messages, prune_summary
-from .sources.messages import parse_messages
+from .sources.messages import message_list, parse_messages
+
+
+#: Options: name, type (None: a switch), what it is without being given (...: it must be), and what it means.
+_OPTIONS = (
+    ("budget", int, ..., "estimated tokens to stay within"),
+    ("strategy", str, "score", "stages, with commas between: dedupe, score, head-tail"),
+    ("head-ratio", float, 0.5, "share of the budget for the beginning"),
+    ("jaccard", float, 0.8, "similarity from which segments are duplicates"),
+    ("shingle-size", int, 5, "words in a shingle"),
+    ("messages", None, False, "the input is a chat transcript in JSON"),
+    ("recent-turns", int, 2, "turns at the end that always stay"),
+    ("no-marker", None, False, "leave no marker where something was dropped"),
+    ("stats", None, False, "a line of figures on standard error"),
+    ("json", None, False, "a JSON report in place of the text"),
+)
 
 
 def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievewright", description="Fit a text or a chat transcript into a token budget.")
     p.add_argument("input", help="a UTF-8 file; - for standard input")
-    p.add_argument("--budget", type=int, required=True, metavar="N", help="estimated tokens to stay within")
-    p.add_argument("--strategy", default="score", metavar="S", help="comma-separated stages: dedupe, score, head-tail")
-    p.add_argument("--head-ratio", type=float, default=0.5, metavar="F", help="share of the budget for the beginning")
-    p.add_argument("--jaccard", type=float, default=0.8, metavar="F", help="similarity from which segments are duplicates")
-    p.add_argument("--shingle-size", type=int, default=5, metavar="N", help="words in a shingle")
-    p.add_argument("--messages", action="store_true", help="the input is a JSON array of chat messages")
-    p.add_argument("--recent-turns", type=int, default=2, metavar="N", help="turns at the end that always stay")
-    p.add_argument("--no-marker", action="store_true", help="leave no marker where something was dropped")
-    p.add_argument("--stats", action="store_true", help="a line of figures on standard error")
-    p.add_argument("--json", action="store_true", help="a JSON report in place of the text")
-    p.add_argument("-o", dest="output", metavar="PATH", help="write to a file")
+    for name, kind, default, meaning in _OPTIONS:
+        more = {"action": "store_true"} if kind is None else {"type": kind} | ({"required": True} if default is ... else {"default": default})
+        p.add_argument(f"--{name}", help=meaning, **more)
+    p.add_argument("-o", dest="output", help="write to this file")
     return p
 
 
 def _read(path: str) -> str:
-    if path == "-":
-        return sys.stdin.read()
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+    return sys.stdin.read() if path == "-" else Path(path).read_text("utf-8")
 
 
 def _document(spark: SparkSession, a: argparse.Namespace, text: str) -> tuple[str, str, dict]:
@@ -49,9 +55,7 @@ def _document(spark: SparkSession, a: argparse.Namespace, text: str) -> tuple[st
 
 
 def _messages(spark: SparkSession, a: argparse.Namespace, text: str) -> tuple[str, str, dict]:
-    history = json.loads(text)
-    if not isinstance(history, list):
-        raise ValueError("expected a JSON array of messages")
+    history = message_list(text)
     rows = spark.createDataFrame([(0, i, json.dumps(m)) for i, m in enumerate(history)], "conv_id long, index int, raw string")
     messages = parse_messages(rows)
     out = prune_messages(messages, a.budget, a.recent_turns, not a.no_marker).orderBy("position").collect()
@@ -80,8 +84,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         print(stats, file=sys.stderr)
     body = json.dumps(result, indent=2) if a.json else body
     if a.output:
-        with open(a.output, "w", encoding="utf-8") as f:
-            f.write(body)
+        Path(a.output).write_text(body, "utf-8")
     else:
         sys.stdout.write(body if body.endswith("\n") else body + "\n")
     return 0

@@ -17,13 +17,14 @@ STOPWORDS = tuple(
         - {"me", "us", "my", "him"}
     )
 )
+_WORD = r"\p{Alpha}[\p{Alpha}']*"
 #: Scores are rounded before they order anything, so that the order doesn't hang on the last bit of a logarithm.
 DIGITS = 9
 
 
 def score_words(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, index, word): every word that counts, as often as it occurs."""
-    found = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z']*"), F.lit(0)), lambda w: F.length(w) > 2)
+    found = F.filter(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), lambda w: F.length(w) > 2)
     return segments.select(key, "index", F.explode(found).alias("w")).select(key, "index", F.lower("w").alias("word")).where(~F.col("word").isin(*STOPWORDS))
 
 

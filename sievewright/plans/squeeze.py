@@ -40,7 +40,7 @@ def register_stage(name: str, stage: Stage, note: str = "") -> None:
 
 
 def parse_strategy(strategy: str) -> list[str]:
-    names = [n for n in (part.strip() for part in strategy.split(",")) if n]
+    names = list(filter(None, map(str.strip, strategy.split(","))))
     for n in names:
         if n not in STRATEGIES:
             raise ValueError(f"unknown strategy {n!r} (choose from {', '.join(sorted(STRATEGIES))})")

@@ -109,7 +109,7 @@ def prune_summary(messages: DataFrame, budget: int, recent_turns: int = 2, marke
     notes = F.array_compact(
         F.array(
             F.when(F.col("added") > 0, F.format_string("kept %d older message(s) outside the recent window", "added")),
-            F.when(F.size(pinned) > 0, F.format_string("pinned %d tool result(s) linked across the recent window", F.size(pinned))),
+            F.when(F.size(pinned) > 0, F.concat(F.lit("pinned "), F.size(pinned), F.lit(" tool result(s) linked across the recent window"))),
             F.when(F.col("dropped") > 0, F.format_string("dropped %d message(s) outside the kept window", "dropped")),
         )
     )

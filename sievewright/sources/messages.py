@@ -26,14 +26,9 @@ def content_text(content: object) -> str:
     """The readable text of a content field; blocks of other kinds than text and tool_result have none."""
     if isinstance(content, str):
         return content
-    texts = []
-    for block in content if isinstance(content, list) else ():
-        kind = block.get("type") if isinstance(block, dict) else None
-        if kind == "text":
-            texts.append(block.get("text", ""))
-        elif kind == "tool_result" and isinstance(block.get("content"), (str, list)):
-            texts.append(content_text(block["content"]))
-    return _joined(texts)
+    blocks = [b for b in content if isinstance(b, dict)] if isinstance(content, list) else []
+    readers = {"text": lambda b: b.get("text", ""), "tool_result": lambda b: content_text(b.get("content"))}
+    return _joined([readers[b.get("type")](b) for b in blocks if b.get("type") in readers])
 
 
 def _call(name: object, arguments: object) -> str:
@@ -65,17 +60,18 @@ def parse_messages(rows: DataFrame) -> DataFrame:
     return parsed.select("conv_id", "index", "p.role", "p.text", estimate_tokens("p.text").alias("tokens"), "p.tool_call_ids", "p.tool_result_ids", "raw")
 
 
+def message_list(text: str) -> list:
+    """The messages of a transcript in JSON."""
+    if isinstance(got := json.loads(text), list):
+        return got
+    raise ValueError("expected a JSON array of messages")
+
+
 def read_transcripts(texts: DataFrame) -> DataFrame:
     """(conv_id, index, raw) from rows (conv_id, text), each text a JSON array of messages; anything else fails."""
 
     @F.pandas_udf("array<string>")
     def items(column: pd.Series) -> pd.Series:
-        def one(text: str) -> list[str]:
-            got = json.loads(text)
-            if not isinstance(got, list):
-                raise ValueError("expected a JSON array of messages")
-            return [json.dumps(m, ensure_ascii=False) for m in got]
-
-        return column.map(one)
+        return column.map(lambda text: [json.dumps(m, ensure_ascii=False) for m in message_list(text)])
 
     return texts.select("conv_id", F.posexplode(items("text")).alias("index", "raw"))

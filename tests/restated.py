@@ -19,8 +19,10 @@ def tokens(text):
         elif c in " \t\r\f\v":
             j = i + 1
         elif c.isascii() and c.isalpha():
-            m = re.match("[A-Za-z]+(?:['’][A-Za-z]+)*", text[i:])
-            j = i + m.end()
+            letter = lambda k: k < len(text) and text[k].isascii() and text[k].isalpha()
+            j = i + 1
+            while letter(j) or (j < len(text) and text[j] in "'’" and letter(j + 1)):
+                j += 1
             total += max(1.0, (j - i) / 4)
         elif c.isascii() and c.isdigit():
             j = i + re.match("[0-9]+", text[i:]).end()

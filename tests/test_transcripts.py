@@ -69,7 +69,7 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr()
     assert said.out == "one two three\n\nfour five six\n" and said.err.startswith("kept 2 of 2 segments | 8 -> 8 tokens (budget 100)")
     chat = tmp_path / "chat.json"
-    chat.write_text(json.dumps([{"role": "user", "content": "a b c d e f"}, {"role": "assistant", "content": "x"}, {"role": "user", "content": "y"}]))
+    chat.write_text(json.dumps([dict(role=r, content=c) for r, c in (("user", "a b c d e f"), ("assistant", "x"), ("user", "y"))]))
     cli.main([str(chat), "--budget", "1", "--messages", "--recent-turns", "1", "--json"], spark)
     report = json.loads(capsys.readouterr().out)
     assert json.loads(report["text"])[0]["content"] == "[2 earlier messages elided]" and report["messages_out"] == 2
