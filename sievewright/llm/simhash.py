@@ -68,11 +68,11 @@ def links(fps: DataFrame, stage: Stage) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of 2 differing bits or fewer: a star for each shared value."""
     cells = grid_cells(fps)
     shared = cells.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("cell")
-    near = stage.keep(cells.join(shared, "cell", "left_semi").select("fp").distinct(), "near")
+    near = stage.keep(cells.join(shared.hint("merge"), "cell", "left_semi").select("fp").distinct(), "near")
     flips = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")) for i in range(64)])
     mid = near.select("fp", F.explode(flips).alias("mid"))
     hub = mid.groupBy("mid").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("mid", "lo")
-    met = mid.join(hub, "mid").where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
+    met = mid.join(hub.hint("merge"), "mid").where("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
     return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
