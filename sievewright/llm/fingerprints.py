@@ -1,12 +1,15 @@
-"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in SQL functions only.
+"""Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame and SQL functions only.
 
 A text is cut into pieces, its lines and their sentences (words, if the text is short), and the 64-bit digests of the
-distinct pieces go into a sketch: three subtables of eight cells, each cell holding a count, the xor of its digests
-and the xor of their check hashes. Two sketches subtract cell by cell, common digests cancel, and peeling recovers
-the digests that differ: a cell of count 1 or -1 whose check fits holds a single digest, which is taken out of its
-other two cells, until nothing is left. If peeling gets stuck, the pair is tried again with four times as many
-sketches, the digests being dealt out by their leading bits. The likeness of two fingerprints is the share of common
-digests in all digests of the two (Jaccard), and equals 1 for equal digest sets.
+distinct pieces go into a sketch of three subtables: each digest into one cell of each, and a cell holds a count, the
+xor of its digests and the xor of their check hashes. Sketches of two texts subtract cell by cell, which cancels
+common digests, and peeling recovers those that differ: a cell whose check fits holds a single digest, which is taken
+out of its other cells, until nothing is left. Digests of long texts are dealt out to several sketches by their
+leading bits, as many as an estimate of the difference asks for; a pair whose peeling gets stuck is done again with
+eight times as many, and if that fails too, with the digest sets themselves. The likeness of two fingerprints is the
+share of common digests in all digests of the two (Jaccard), and is 1 for equal digest sets.
+
+Cells are plain grouped xor aggregates over exploded digests; only the last cells of a difference become arrays.
 """
 
 from __future__ import annotations
@@ -15,75 +18,79 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import Stage
+
 #: Texts below so many code points are cut at white space, others at ends of sentences and lines.
 SHORT = 256
-#: Levels of retry: level l deals digests to 4**l sketches. Beyond the last, the digest sets are compared directly.
-LEVELS = 7
-CELLS, CAPACITY = 24, 18
+#: Bits of a place in a subtable, for fingerprints and for differences; differing digests wanted in one sketch.
+PRINT_BITS, PAIR_BITS, LOAD, LEAST, RETRY_LEVELS = 3, 6, 6, 16, 3
 
 
 def pieces_sql(text: str) -> str:
+    """array<long>: the distinct digests of a text, sorted."""
     cut = f"if(length({text}) < {SHORT}, split({text}, '\\\\s+'), split({text}, '[.!?\\\\n]+'))"
     return f"array_sort(array_distinct(transform(filter({cut}, x -> x != ''), x -> xxhash64(x))))"
 
 
-def _dealt(digests: str, level: int) -> str:
-    out = f"array({digests})"
-    for k in range(level):
-        out = f"flatten(transform({out}, grp -> transform(array(0, 1, 2, 3), q -> filter(grp, d -> (shiftrightunsigned(d, {62 - 2 * k}) & 3) = q))))"
-    return out
+def _places(d: str, bits: int) -> list[str]:
+    return [f"cast({i << bits} + (shiftrightunsigned({d}, {i * bits}) & {(1 << bits) - 1}) as int)" for i in range(3)]
 
 
-def sketch_sql(digests: str, level: int = 0) -> str:
-    """array<array<struct<c, k, s>>>: the cells of 4**level sketches of an array of digests."""
-    cell = "aggregate(grp, named_struct('c', 0, 'k', 0L, 's', 0L), (a, d) -> if((shiftrightunsigned(d, 3 * shiftright(j, 3)) & 7) = (j & 7), named_struct('c', a.c + 1, 'k', a.k ^ d, 's', a.s ^ xxhash64(d)), a))"
-    return f"transform({_dealt(digests, level)}, grp -> transform(sequence(0, {CELLS - 1}), j -> {cell}))"
+def level_sql(a: str, b: str) -> str:
+    """How many leading bits deal out the digests of a pair, from the shared ones among the least of both."""
+    shared = f"size(array_intersect(slice({a}, 1, {LEAST}), slice({b}, 1, {LEAST})))"
+    guess = f"(size({a}) + size({b})) * (1 - least(1D, {shared} / greatest(1, least({LEAST}, size({a}), size({b})))))"
+    return f"cast(ceil(log2(greatest(1D, {guess} / {LOAD}))) as int)"
 
 
-def _subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (x, y) -> zip_with(x, y, (p, q) -> named_struct('c', p.c - q.c, 'k', p.k ^ q.k, 's', p.s ^ q.s)))"
+def _entries(p: int, digests: str, level: str = "0") -> str:
+    return f"transform({digests}, d -> named_struct('p', {p}, 'g', if({level} = 0, 0L, shiftrightunsigned(d, 64 - {level})), 'd', d))"
 
 
-def _peel(cells: str) -> str:
-    """How many digests peeling recovers from the cells of a difference; null if it gets stuck."""
-    pure = "array_distinct(transform(filter(st.cells, x -> (x.c = 1 or x.c = -1) and xxhash64(x.k) = x.s), x -> named_struct('k', x.k, 'c', x.c)))"
-    rest = "transform(st.cells, (x, j) -> aggregate(filter(pure, p -> (shiftrightunsigned(p.k, 3 * shiftright(j, 3)) & 7) = (j & 7)), x, (a, p) -> named_struct('c', a.c - p.c, 'k', a.k ^ p.k, 's', a.s ^ xxhash64(p.k))))"
-    step = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('cells', st.cells, 'n', st.n, 'go', false), named_struct('cells', {rest}, 'n', st.n + size(pure), 'go', true)))[0]"
-    done = "if(forall(st.cells, x -> x.c = 0 and x.k = 0L and x.s = 0L), st.n, cast(null as int))"
-    return f"aggregate(sequence(1, {2 * CELLS}), named_struct('cells', {cells}, 'n', 0, 'go', true), (st, r) -> if(st.go, {step}, st), st -> {done})"
+def _cells(rows: DataFrame, entries: list[str]) -> DataFrame:
+    """(r, p, g, cells array<struct<j, c, k, s>>): what each sketch holds; rows must be partitioned by r."""
+    e = rows.select("r", F.expr(f"explode(concat({', '.join(entries)}))").alias("e")).select("r", "e.p", "e.g", "e.d", F.xxhash64("e.d").alias("h"))
+    places = F.when(F.col("p") < 2, F.array(*map(F.expr, _places("d", PRINT_BITS)))).otherwise(F.array(*map(F.expr, _places("d", PAIR_BITS))))
+    cells = e.select("r", "p", "g", "d", "h", F.explode(places).alias("j")).groupBy("r", "p", "g", "j").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("h").alias("s"))
+    return cells.where("p < 2 or k <> 0 or s <> 0").groupBy("r", "p", "g").agg(F.array_sort(F.collect_list(F.struct("j", "c", "k", "s"))).alias("cells"))
 
 
-def differing_sql(a: str, b: str) -> str:
-    """The number of digests in one of two arrays only, found by peeling, with larger sketches on failure."""
-    tries = []
-    for level in range(LEVELS):
-        diff = _subtract(sketch_sql(a, level), sketch_sql(b, level))
-        peeled = f"aggregate(transform({diff}, g -> {_peel('g')}), 0, (t, x) -> t + x)"
-        tries.append(f"if(abs(size({a}) - size({b})) > {CAPACITY * 4**level}, cast(null as int), {peeled})")
-    tries.append(f"size(array_except({a}, {b})) + size(array_except({b}, {a}))")
-    return f"if({a} = {b}, 0, coalesce({', '.join(tries)}))"
+def peel_sql(cells: str) -> str:
+    """How many digests peeling recovers from the cells of a difference; null if it gets stuck."""
+    keys = "array_distinct(transform(filter(st.cells, x -> xxhash64(x.k) = x.s), x -> x.k))"
+    j0, j1, j2 = _places("d", PAIR_BITS)
+    pure = f"transform({keys}, d -> named_struct('d', d, 'h', xxhash64(d), 'j0', {j0}, 'j1', {j1}, 'j2', {j2}))"
+    less = "aggregate(filter(pure, p -> p.j0 = x.j or p.j1 = x.j or p.j2 = x.j), x, (a, p) -> named_struct('j', a.j, 'k', a.k ^ p.d, 's', a.s ^ p.h))"
+    rest = f"filter(transform(st.cells, x -> {less}), x -> x.k != 0L or x.s != 0L)"
+    step = f"transform(array({pure}), pure -> if(size(pure) = 0, named_struct('cells', st.cells, 'n', cast(null as int), 'go', false), transform(array({rest}), rest -> named_struct('cells', rest, 'n', st.n + size(pure), 'go', size(rest) > 0))[0]))[0]"
+    start = f"named_struct('cells', transform({cells}, x -> named_struct('j', x.j, 'k', x.k, 's', x.s)), 'n', 0, 'go', true)"
+    return f"aggregate(sequence(1, 24), {start}, (st, r) -> if(st.go, {step}, st), st -> if(st.go, cast(null as int), st.n))"
 
 
-def likeness(a: str, b: str) -> F.Column:
-    n = f"(size({a}) + size({b}))"
-    d = differing_sql(a, b)
-    return F.expr(f"transform(array({d}), d -> if({n} = 0, 1D, cast({n} - d as double) / ({n} + d)))[0]")
+def _found(cells: DataFrame) -> DataFrame:
+    """For both pairs the number of differing digests, null if a sketch got stuck."""
+    n = F.expr(f"if(p < 2, null, {peel_sql('cells')})")
+    at = cells.select("r", "p", n.alias("n"), F.expr("if(p < 2, array_join(transform(cells, x -> concat_ws('.', hex(x.j), hex(x.c), hex(x.k), hex(x.s))), '-'), null)").alias("print"))
+    pair = lambda p: F.when(F.count_if((F.col("p") == p) & F.col("n").isNull()) == 0, F.coalesce(F.sum(F.when(F.col("p") == p, F.col("n"))), F.lit(0)))
+    text = lambda p: F.coalesce(F.max(F.when(F.col("p") == p, F.col("print"))), F.lit(""))
+    return at.groupBy("r").agg(text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"), pair(2).alias("edited_n"), pair(3).alias("next_n"))
 
 
-def fingerprint_sql(digests: str) -> str:
-    cells = f"transform({sketch_sql(digests)}[0], x -> concat_ws('.', hex(x.c), hex(x.k), hex(x.s)))"
-    return f"concat_ws('-', hex(size({digests})), array_join({cells}, '-'))"
+def _likeness(a: str, b: str, n: str) -> F.Column:
+    n = f"coalesce({n}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1D, cast(size({a}) + size({b}) - {n} as double) / (size({a}) + size({b}) + {n}))")
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, text, next): next is the text of the following row by descending doc_id, of the last row the first's.
+    """(doc_id, text, b, guest, next): of the rows with guest 0, next is the text of the following row by descending doc_id, of the last row the first's.
 
-    Rows go to ``parts`` ranges of doc_id, cut at its quantiles, in one shuffle; the first row of each range is also
+    Rows go to ranges of doc_id, four for each of ``parts`` partitions, cut at its quantiles, in one shuffle; the first row of each range is also
     sent to the range before it, so that a window over each range alone sees every row's successor. Equal doc_ids are
     ordered by text; null doc_ids come last.
     """
     spark = docs.sparkSession
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    ranges = 4 * parts
+    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
     cuts = sorted(set(cuts or []), reverse=True)
     stride = max(1, round(len(cuts) ** 0.5))
     coarse, x = cuts[stride - 1 :: stride], F.col("doc_id")
@@ -97,15 +104,18 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     placed = docs.withColumn("b", bucket.cast("int"))
     heads = {r["b"]: r["head"] for r in placed.groupBy("b").agg(F.max("doc_id").alias("head")).collect()}  # one row a range
     if not heads:
-        return docs.select("doc_id", "text", F.lit(None).cast("string").alias("next"))
+        return docs.select("doc_id", "text", F.lit(0).alias("b"), F.lit(0).alias("guest"), F.lit(None).cast("string").alias("next"))
     used = sorted(heads)
     ahead = spark.createDataFrame([(b, heads[b], used[i - 1]) for i, b in enumerate(used)], "b int, head long, guest_of int")
     held = placed.join(F.broadcast(ahead), "b")
-    stays = F.struct(F.col("b").alias("b"), F.lit(0).alias("guest"))
-    visits = F.struct(F.col("guest_of").alias("b"), F.lit(1).alias("guest"))
-    rows = held.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(stays, visits)).otherwise(F.array(stays))).alias("at"))
-    order = W.partitionBy("at.b").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.select("doc_id", "text", "at", F.lead("text").over(order).alias("next"))
+    stays, visits = F.struct(F.col("b"), F.lit(0).alias("guest")), F.struct(F.col("guest_of").alias("b"), F.lit(1).alias("guest"))
+    places = F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("head")), F.array(stays, visits)).otherwise(F.array(stays)))
+    rows = held.select("doc_id", "text", places.alias("at")).select("doc_id", "text", F.col("at.b").alias("b"), F.col("at.guest").alias("guest"))
+    return rows.repartition(parts, "b").withColumn("next", F.lead("text").over(_order()))
+
+
+def _order() -> W:
+    return W.partitionBy("b").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -115,24 +125,31 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Null texts count as empty; two texts without pieces have likeness 1. Rows that share a doc_id follow one another in
     the order of their texts. A single row is its own successor.
     """
+    stage = Stage(spark, "fingerprints")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = with_next(rows, parts)
-    if "at" not in near.columns:
-        near = near.withColumn("at", F.struct(F.lit(0).alias("b"), F.lit(0).alias("guest")))
-    near = near.withColumn("digests", F.expr(pieces_sql("text")))
-    order = W.partitionBy("at.b").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
-    near = near.withColumn("next_digests", F.lead("digests").over(order)).where("at.guest = 0")
-    n = F.length("text")
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.expr("left(next, cast(floor(length(text) / 3) as int))"))
-    out = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "digests", "next_digests")
-    out = out.withColumn("edited_digests", F.expr(pieces_sql("edited")))
-    return out.select(
+    near = with_next(rows, parts).withColumn("a", F.expr(pieces_sql("text")))
+    near = near.withColumn("x", F.lead("a").over(_order())).where("guest = 0")
+    third = "cast(floor(length(text) / 3) as int)"
+    edited = F.concat(F.expr(f"left(text, length(text) - {third})"), F.expr(f"left(next, {third})"))
+    out = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "a", "x").withColumn("e", F.expr(pieces_sql("edited")))
+    kept = out.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e", "x")
+    base = stage.keep(kept, "digests")
+    sides = base.select("r", "a", "e", "x").repartition(parts, "r").withColumn("le", F.expr(level_sql("a", "e"))).withColumn("lx", F.expr(level_sql("a", "x")))
+    prints, pairs = [_entries(0, "a"), _entries(1, "e")], [_entries(2, "a", "le"), _entries(2, "e", "le"), _entries(3, "a", "lx"), _entries(3, "x", "lx")]
+    first = stage.keep(_found(_cells(sides, prints + pairs)), "first")
+    stuck = first.where("edited_n is null or next_n is null").select("r")
+    larger = [c.alias(n) for c, n in ((F.col("le") + RETRY_LEVELS, "le"), (F.col("lx") + RETRY_LEVELS, "lx"))]
+    again = _found(_cells(sides.join(stuck, "r", "left_semi").select("r", "a", "e", "x", *larger), pairs)).select("r", F.col("edited_n").alias("e2"), F.col("next_n").alias("x2"))
+    done = base.join(first, "r", "left").join(again, "r", "left")
+    # a document without pieces has no cells, and so no row of its own
+    nothing = lambda a, b: f"if({a} = {b}, 0, null)"
+    return done.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.expr(fingerprint_sql("digests")).alias("fingerprint"),
-        F.expr(fingerprint_sql("edited_digests")).alias("edited_fingerprint"),
-        likeness("digests", "edited_digests").alias("near_edited"),
-        likeness("digests", "next_digests").alias("near_next"),
+        "edited_sha256",
+        F.concat_ws("-", F.hex(F.size("a")), F.coalesce("fingerprint", F.lit(""))).alias("fingerprint"),
+        F.concat_ws("-", F.hex(F.size("e")), F.coalesce("edited_fingerprint", F.lit(""))).alias("edited_fingerprint"),
+        _likeness("a", "e", f"edited_n, e2, {nothing('a', 'e')}").alias("near_edited"),
+        _likeness("a", "x", f"next_n, x2, {nothing('a', 'x')}").alias("near_next"),
     )
