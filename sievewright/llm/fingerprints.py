@@ -70,7 +70,7 @@ def peel_sql(cells: str) -> str:
 def _found(cells: DataFrame) -> DataFrame:
     """For both pairs the number of differing digests, null if a sketch got stuck."""
     n = F.expr(f"if(p < 2, null, {peel_sql('cells')})")
-    at = cells.select("r", "p", n.alias("n"), F.expr("if(p < 2, array_join(transform(cells, x -> concat_ws('.', hex(x.j), hex(x.c), hex(x.k), hex(x.s))), '-'), null)").alias("print"))
+    at = cells.select("r", "p", n.alias("n"), F.expr("if(p < 2, base64(unhex(array_join(transform(cells, x -> concat(lpad(hex(x.j), 2, '0'), lpad(hex(x.c), 8, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.s), 16, '0'))), ''))), null)").alias("print"))
     pair = lambda p: F.when(F.count_if((F.col("p") == p) & F.col("n").isNull()) == 0, F.coalesce(F.sum(F.when(F.col("p") == p, F.col("n"))), F.lit(0)))
     text = lambda p: F.coalesce(F.max(F.when(F.col("p") == p, F.col("print"))), F.lit(""))
     return at.groupBy("r").agg(text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"), pair(2).alias("edited_n"), pair(3).alias("next_n"))
@@ -141,6 +141,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stuck = first.where("edited_n is null or next_n is null").select("r")
     larger = [c.alias(n) for c, n in ((F.col("le") + RETRY_LEVELS, "le"), (F.col("lx") + RETRY_LEVELS, "lx"))]
     again = _found(_cells(sides.join(stuck, "r", "left_semi").select("r", "a", "e", "x", *larger), pairs)).select("r", F.col("edited_n").alias("e2"), F.col("next_n").alias("x2"))
+    again = stage.keep(again, "again")
     done = base.join(first, "r", "left").join(again, "r", "left")
     # a document without pieces has no cells, and so no row of its own
     nothing = lambda a, b: f"if({a} = {b}, 0, null)"
