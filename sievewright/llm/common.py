@@ -101,7 +101,8 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
 
 def offsets_and_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets (n + 1) and UTF-8 bytes of a string column without nulls."""
-    col = col.cast(pa.large_string())
+    if not pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_string())
     buffers = col.buffers()
     off = np.frombuffer(buffers[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)

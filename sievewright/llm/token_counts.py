@@ -1,7 +1,7 @@
 """Token counts: pieces are counted once for each distinct pre-token, joined to the documents' pre-token frequencies.
 
 Each slice of documents yields one row for each distinct pre-token, with the places of its documents in the slice and
-its frequencies there. The distinct pre-tokens of all slices are tokenized once each, and the counts join back by
+its frequencies there, packed. The distinct pre-tokens of all slices are tokenized once each, and the counts join back by
 pre-token; every match adds count times frequency to its documents. Token ids are never listed. Pre-tokens that are a
 single entry of the tokenizer's own vocabulary, a bounded table, are added up at once and never shuffled.
 
@@ -19,10 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_map, ids_and_texts, slices
+from .common import Stage, arrow_map, ids_and_texts, offsets_and_bytes, slices
 
 LIMIT = 1024
-SLICE_TEXT, SLICE_DOCS, CACHE_UNITS = 1 << 23, 30_000, 300_000
+SLICE_TEXT, CACHE_UNITS = 1 << 25, 300_000
+#: A posting is one long: the document's place in its slice in the low bits, its frequency above them.
+_PLACE = 24
 #: How the tokenizer splits texts before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that every Unicode version classes alike; a unit with any other is counted as it is, unsplit.
@@ -80,37 +82,35 @@ class _Units(dict):
         return single, rest
 
 
-_FREQUENCIES = "chunk long, piece string, docs array<short>, times array<int>, ids array<long>, bytes array<long>, single array<long>"
+_FREQUENCIES = "chunk long, piece string, postings binary, ids array<long>, bytes array<long>, single array<long>"
 
 
 def _frequencies(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, chunk = _Units(path), count(TaskContext.get().partitionId() << 32)
-        for whole in slices(batches, most=SLICE_TEXT):
-            for at in range(0, whole.num_rows, SLICE_DOCS):
-                b = whole.slice(at, SLICE_DOCS)
-                if len(units) > CACHE_UNITS:
-                    units.clear()
-                place: dict[str, int] = {}
-                pieces, owners, single, size = [], [], [], []
-                for k, t in enumerate(b.column("text").to_pylist()):
-                    n, rest = units.of(t)
-                    single.append(n)
-                    size.append(len(t.encode()))
-                    pieces += [place.setdefault(p, len(place)) for p in rest]
-                    owners += [k] * len(rest)
-                key, times = np.unique((np.array(pieces, np.int64) << 15) | np.array(owners, np.int64), return_counts=True)
-                ends = np.searchsorted(key >> 15, np.arange(len(place) + 1)).astype(np.int32)
-                m, n = len(place), next(chunk)
-                none = lambda kind: pa.nulls(m, kind)
-                lists = lambda v, kind: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, kind))
-                kinds = [pa.int64(), pa.string(), pa.list_(pa.int16()), pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 3]
-                names = ["chunk", "piece", "docs", "times", "ids", "bytes", "single"]
-                rows = [pa.array(np.full(m, n)), pa.array(list(place), pa.string()), pa.ListArray.from_arrays(ends, pa.array((key & 32767).astype(np.int16))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32)))]
-                if m:
-                    yield pa.RecordBatch.from_arrays([*rows, *[none(k) for k in kinds[4:]]], names)
-                head = [pa.array([n]), *[pa.nulls(1, k) for k in kinds[1:4]], lists(b.column("doc_id").to_pylist(), pa.int64()), lists(size, pa.int64()), lists(single, pa.int64())]
-                yield pa.RecordBatch.from_arrays(head, names)
+        for b in slices(batches, most=SLICE_TEXT):
+            if len(units) > CACHE_UNITS:
+                units.clear()
+            place: dict[str, int] = {}
+            pieces, owners, single, size = [], [], [], []
+            for k, t in enumerate(b.column("text").to_pylist()):
+                n, rest = units.of(t)
+                single.append(n)
+                size.append(len(t.encode()))
+                pieces += [place.setdefault(p, len(place)) for p in rest]
+                owners += [k] * len(rest)
+            key, times = np.unique((np.array(pieces, np.int64) << _PLACE) | np.array(owners, np.int64), return_counts=True)
+            postings = ((key & ((1 << _PLACE) - 1)) | (times << _PLACE)).astype("<i8")
+            ends = (8 * np.searchsorted(key >> _PLACE, np.arange(len(place) + 1))).astype(np.int32)
+            m, n = len(place), next(chunk)
+            lists = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64()))
+            names, kinds = ["chunk", "piece", "postings", "ids", "bytes", "single"], [pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+            if m:
+                packed = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(postings)])
+                rows = [pa.array(np.full(m, n)), pa.array(list(place), pa.string()), packed, *[pa.nulls(m, k) for k in kinds[3:]]]
+                yield pa.RecordBatch.from_arrays(rows, names)
+            head = [pa.array([n]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), lists(b.column("doc_id").to_pylist()), lists(size), lists(single)]
+            yield pa.RecordBatch.from_arrays(head, names)
 
     return run
 
@@ -127,14 +127,15 @@ def _counted(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        docs, times = b.column("docs"), b.column("times")
-        per = np.diff(docs.offsets.to_numpy())
-        chunk = np.repeat(b.column("chunk").to_numpy(), per)
-        tokens = times.flatten().to_numpy() * np.repeat(b.column("n").to_numpy(), per)
-        kinds, at = np.unique(chunk, return_inverse=True)
-        key, back = np.unique(at * 32768 + docs.flatten().to_numpy().astype(np.int64), return_inverse=True)
+        ends, data = offsets_and_bytes(b.column("postings").cast(pa.large_binary()))
+        posting = np.frombuffer(data.tobytes(), "<i8")
+        per = np.diff(ends) // 8
+        kinds, at = np.unique(b.column("chunk").to_numpy(), return_inverse=True)
+        tokens = (posting >> _PLACE) * np.repeat(b.column("n").to_numpy(), per)
+        key, back = np.unique((np.repeat(at, per) << _PLACE) | (posting & ((1 << _PLACE) - 1)), return_inverse=True)
         total = np.bincount(back, weights=tokens, minlength=len(key)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds[key >> 15] if len(key) else np.zeros(0, np.int64)), pa.array((key & 32767).astype(np.int32)), pa.array(total)], ["chunk", "place", "tokens"])
+        chunk = kinds[key >> _PLACE] if len(key) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array((key & ((1 << _PLACE) - 1)).astype(np.int32)), pa.array(total)], ["chunk", "place", "tokens"])
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
@@ -144,9 +145,9 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: in
     """
     stage = Stage(spark, "tokens")
     table = stage.keep(arrow_map(ids_and_texts(docs), _frequencies(tokenizer), _FREQUENCIES), "frequencies")
-    rows = table.where("piece is not null").select("chunk", "piece", "docs", "times")
+    rows = table.where("piece is not null").select("chunk", "piece", "postings")
     counts = arrow_map(rows.select("piece").distinct(), _counted(tokenizer), "piece string, n long")
-    sums = arrow_map(rows.join(counts, "piece").select("chunk", "docs", "times", "n"), _summed, "chunk long, place int, tokens long")
+    sums = arrow_map(rows.join(counts, "piece").select("chunk", "postings", "n"), _summed, "chunk long, place int, tokens long")
     sums = sums.groupBy("chunk", "place").agg(F.sum("tokens").alias("tokens"))
     heads = table.where("piece is null").select("chunk", F.posexplode(F.arrays_zip("ids", "bytes", "single")).alias("place", "d"))
     out = heads.join(sums, ["chunk", "place"], "left")
