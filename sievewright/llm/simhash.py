@@ -11,6 +11,7 @@ on that value and each group (65 members at most) becomes a star. No step lists
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else iter([b" ".join(w)])
     n, h = 0, np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    while block := [digest(g, SEED) for g, _ in zip(grams, range(_AT_ONCE))]:
+    while block := [digest(g, SEED) for g in islice(grams, _AT_ONCE)]:
         bits = np.unpackbits(np.array(block, "<u8").view(np.uint8).reshape(len(block), 8), axis=1, bitorder="little")
         h += bits.sum(axis=0, dtype=np.uint32)
         n += len(block)

@@ -185,6 +185,22 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [16_385, 16_386, 16_387, 40_000])
+def test_simhash_of_long_texts(n):
+    # of the words of one text any shingle left out shows in the count of one bit or another
+    for seed in range(6):
+        text = " ".join(random.Random(seed).choices([f"w{i}" for i in range(5000)], k=n))
+        assert simhash.fingerprint(text.encode()) == _print(text)
+    grams = [xxhash.xxh64_intdigest(f"a{i} a{i + 1} a{i + 2}".encode(), 42) for i in range(n - 2)]
+    seen = []
+    digest, simhash.xxhash.xxh64_intdigest = simhash.xxhash.xxh64_intdigest, lambda g, s: seen.append(digest(g, s)) or seen[-1]
+    try:
+        simhash.fingerprint(" ".join(f"a{i}" for i in range(n)).encode())
+    finally:
+        simhash.xxhash.xxh64_intdigest = digest
+    assert seen == grams
+
+
 def test_simhash_links_at_random(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(30)]
