@@ -1,8 +1,7 @@
 """LM scoring: a word bigram model in an Elias-Fano trie, counted and built in shards and queried memory-mapped.
 
 Level 1 holds the words, sorted by hash: the hashes as an Elias-Fano sequence, and of each word its count, its
-quantised probability and its quantised back-off weight. Level 2 holds the bigrams seen MIN_BIGRAM times or more in
-shards of a key range: the contexts and the pointers to their successors as monotone sequences, and the successors'
+quantised probability and its quantised back-off weight. Level 2 holds all bigrams in shards of a key range: the contexts and the pointers to their successors as monotone sequences, and the successors'
 word ids, each raised by the last value of the context before, as one more. A query finds its context, takes the range
 between two pointers, and searches for the successor of the word's id relative to its context's base; the quantised
 probability stands beside it. Absolute discounting interpolates bigrams with words, and gives unknown words, taken as
@@ -27,7 +26,7 @@ from .common import U64, Stage, arrow_map, ids_and_texts, offsets_and_bytes, sli
 from .elias_fano import EliasFano, Level, save
 
 END = U64(0x8F1BBCDCBFA53E0B)
-MIN_BIGRAM, SHARD_WORDS, SHARD_BIGRAMS = 2, 1 << 20, 1 << 21
+SHARD_WORDS, SHARD_BIGRAMS = 1 << 20, 1 << 21
 #: Log10 probabilities are stored in steps of 1 / STEPS in one byte.
 STEPS = 20
 
@@ -89,11 +88,11 @@ class _Levels:
 
     def of_words(self, name: str, ids: np.ndarray) -> np.ndarray:
         """An array of level 1 at word ids."""
-        out = np.zeros(len(ids), np.int64)
+        out = np.zeros(len(ids), float if name == "weight" else np.int64)
         shard = np.searchsorted(self.starts, ids, "right") - 1
         for s in np.unique(shard):
             at = np.flatnonzero(shard == s)
-            out[at] = self.level(f"{'backoff' if name == 'backoff' else 'words'}-{s}").arrays[name][ids[at] - self.starts[s]]
+            out[at] = self.level(f"{'backoff' if name in ('backoff', 'weight') else 'words'}-{s}").arrays[name][ids[at] - self.starts[s]]
         return out
 
     def bigrams(self, keys: np.ndarray) -> np.ndarray:
@@ -159,24 +158,34 @@ def _keys(levels: _Levels, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     return np.where((ids >= 0) & (context >= 0), (context << 32) | np.maximum(ids, 0), -1), ids
 
 
-def _write_bigrams(levels: _Levels, discount: float, texts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _placed(levels: _Levels) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard = np.searchsorted(levels.cuts, b.column("k").to_numpy(), "left").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("c"), pa.array(shard)], ["k", "c", "shard"])
+
+    return run
+
+
+def _write_bigrams(levels: _Levels, discount: float, texts: int, first_backoff: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        k, c, weight = rows["k"].to_numpy(np.int64), rows["c"].to_numpy(np.int64), rows["backoff"].to_numpy(float)
+        shard = int(rows["shard"].iloc[0])
+        k, c = rows["k"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+        order = np.argsort(k)
+        k, c = k[order], c[order]
         context, word = k >> 32, k & 0xFFFFFFFF
         distinct, begin = np.unique(context, return_index=True)
-        seen = np.full(len(distinct), texts, np.int64)
+        seen, weight = np.full(len(distinct), texts, np.int64), np.full(len(distinct), first_backoff)
         real = distinct < levels.words
-        seen[real] = levels.of_words("count", distinct[real])
+        seen[real], weight[real] = levels.of_words("count", distinct[real]), levels.of_words("weight", distinct[real])
         n = np.diff(np.append(begin, len(k)))
         uni_order = np.argsort(word, kind="stable")
         uni = np.empty(len(k))
         uni[uni_order] = 10.0 ** (-levels.of_words("prob", word[uni_order]) / STEPS)
-        p = (c - discount) / np.repeat(seen, n) + weight * uni
+        p = (c - discount) / np.repeat(seen, n) + np.repeat(weight, n) * uni
         last = np.cumsum(word[np.append(begin[1:], len(k)) - 1] + 1)
         values = word + 1 + np.repeat(np.append(0, last[:-1]), n)
         sequences = {"context": EliasFano.build(distinct), "pointer": EliasFano.build(np.append(begin, len(k))), "word": EliasFano.build(values)}
-        shard = int(rows["shard"].iloc[0])
         save(f"{levels.root}/bigrams-{shard}", sequences, {"prob": _quantised(np.minimum(p, 1.0))})
         return pd.DataFrame({"shard": [shard], "n": [len(k)]})
 
@@ -186,11 +195,11 @@ def _write_bigrams(levels: _Levels, discount: float, texts: int) -> Callable[[pd
 def _write_backoff(levels: _Levels) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         s = int(rows["shard"].iloc[0])
-        code = np.zeros(int(levels.starts[s + 1] - levels.starts[s]), np.uint8)
+        weight = np.ones(int(levels.starts[s + 1] - levels.starts[s]))
         rows = rows[rows["context"] >= 0]
-        code[rows["context"].to_numpy(np.int64) - levels.starts[s]] = _quantised(rows["backoff"].to_numpy(float))
-        save(f"{levels.root}/backoff-{s}", {}, {"backoff": code})
-        return pd.DataFrame({"shard": [s], "n": [len(code)]})
+        weight[rows["context"].to_numpy(np.int64) - levels.starts[s]] = rows["backoff"].to_numpy(float)
+        save(f"{levels.root}/backoff-{s}", {}, {"backoff": _quantised(weight), "weight": weight})
+        return pd.DataFrame({"shard": [s], "n": [len(weight)]})
 
     return run
 
@@ -221,10 +230,9 @@ def train(texts: DataFrame, stage: Stage) -> Model:
     starts = np.concatenate([[0], np.cumsum([n.get(s, 0) for s in range(1 << bits)])]).tolist()
     levels = _Levels(root, bits, starts, [], v)
     pairs = arrow_map(texts.select("text"), _count_bigrams(levels), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-    pairs = stage.keep(pairs.where(F.col("c") >= MIN_BIGRAM), "pairs")
-    kept, b2, b3 = pairs.agg(F.count(F.lit(1)), F.count_if(F.col("c") == 2), F.count_if(F.col("c") == 3)).first()
-    d2 = b2 / (b2 + 1.5 * b3) if b2 else 0.75  # the discount of what is seen twice, from the two lowest counts kept
-    d2 = float(min(max(d2, 0.3), 1.2))
+    pairs = stage.keep(pairs, "pairs")
+    kept, b1, b2 = pairs.agg(F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    d2 = b1 / (b1 + 2 * b2) if b1 and b2 else 0.75  # a discount of 1 would leave bigrams seen once no mass of their own
     shards = -(-kept // SHARD_BIGRAMS)
     cuts = sorted(set(pairs.select(F.percentile_approx("k", [i / shards for i in range(1, shards)], 1000 * shards)).first()[0])) if shards > 1 else []
     levels.cuts = np.array(cuts, np.int64)
@@ -236,13 +244,13 @@ def train(texts: DataFrame, stage: Stage) -> Model:
     every = spark.createDataFrame([(-1, 1.0, s) for s in range(1 << bits) if starts[s + 1] > starts[s]], "context long, backoff double, shard long")
     by_word.where(F.col("context") < v).unionByName(every).groupBy("shard").applyInPandas(_write_backoff(levels), "shard long, n long").collect()
     first = by_word.where(F.col("context") == v).first()
+    first_backoff = first["backoff"] if first else 1.0
     if kept:
-        place = F.size(F.filter(F.lit(cuts), lambda x: x < F.col("k"))) if cuts else F.lit(0)
-        rows = pairs.withColumn("context", context).join(by_word.select("context", "backoff"), "context").select("k", "c", "backoff", place.alias("shard"))
-        rows.groupBy("shard").applyInPandas(_write_bigrams(levels, d2, n_texts), "shard long, n long").collect()
+        rows = arrow_map(pairs, _placed(levels), "k long, c long, shard int")
+        rows.groupBy("shard").applyInPandas(_write_bigrams(levels, d2, n_texts, first_backoff), "shard long, n long").collect()
     for name in ("words", "pairs", "backoffs"):
         stage.drop(name)
-    return Model(levels, total, max(d1 * v / total, 1e-12), first["backoff"] if first else 1.0)
+    return Model(levels, total, max(d1 * v / total, 1e-12), first_backoff)
 
 
 def _backoffs(levels: _Levels, texts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -294,6 +294,34 @@ def test_lm_scoring(spark, docs, empty):
     assert lm_scoring.scores(spark, empty).count() == 0
 
 
+def test_lm_bigrams_seen_once(spark):
+    import math
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(80)]
+    texts = [(i, " ".join(rng.choices(words, k=30))) for i in range(60)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    tokens = lambda x: [*x.split(), "</s>"]
+    c, pairs, n_texts = Counter(), Counter(), 0
+    for d, x in texts:
+        if not held(d):
+            n_texts += 1
+            c.update(tokens(x))
+            pairs.update(zip(["<s>", *x.split()], tokens(x)))
+    of = Counter(pairs.values())
+    assert of[1] > 5 * of[2]  # nearly all bigrams are seen once
+    d1, d2 = (k[1] / (k[1] + 2 * k[2]) if k[1] else 0.5 for k in (Counter(c.values()), of))
+    follow = Counter(a for a, _ in pairs)
+    seen = lambda a: n_texts if a == "<s>" else c[a]
+    uni = lambda b: (c[b] - d1) / c.total()
+    back = lambda a: follow[a] * d2 / seen(a)
+    p = lambda a, b: max(0, pairs[a, b] - d2) / seen(a) + back(a) * uni(b)
+    got = {r.doc_id: r for r in lm_scoring.scores(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for d, x in texts:
+        want = sum(math.log10(p(a, b)) for a, b in zip(["<s>", *x.split()], tokens(x)))
+        assert abs(got[d].score - want) < 0.02 * got[d].n_tokens
+
+
 def test_elias_fano():
     rng = np.random.default_rng(9)
     for top, n in ((1 << 62, 1000), (5, 1000), (1 << 20, 1), (1 << 20, 5000)):
