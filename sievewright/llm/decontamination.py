@@ -3,9 +3,10 @@
 Texts and benchmark items become lower-case alphanumeric words. A spaced seed is a fixed mask over SPAN consecutive
 words that ignores some of them, so that its hash survives a substituted word at an ignored place. The benchmark's
 seed hashes, in blocks of bounded size, are joined to the hashes at every position of every text; each hit gives a
-diagonal (text position less item position), and the words along it are compared around the hit: the overlap is the
-stretch with the best score of +1 a match and -MISMATCH a substitution, which keeps at least 80 per cent of matches.
-An overlap counts if it has MIN_WORDS matches or covers MIN_COVER of the item.
+diagonal (text position less item position), and all words along it are compared: an overlap is the longest stretch
+whose score, +1 a match and -MISMATCH a substitution, is not negative, which is to say that at least 80 per cent of it
+match; what is left on either side is searched likewise. An overlap counts if it has MIN_WORDS matches or covers
+MIN_COVER of the item.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, U64, arrow_map, ids_and_texts, mix, offsets_and_bytes, slices, span_hashes, word_spans
 
-#: 1: the word counts, 0: it may differ. Every place is ignored by one mask at least.
-MASKS = ("11101011", "11010111", "10111101", "1111001011")
+#: 1: the word counts, 0: it may differ. In every stretch of 8 to 23 words with at most one in five replaced one mask
+#: fits at least, wherever the replaced ones are (tested), and any longer stretch has such a part of 12 to 23 words.
+MASKS = ("11101011", "11010111", "10111101", "1111001011", "111111", "110110011", "101001111")
+#: Items with fewer words are looked for as a whole.
+SHORT = 8
 MIN_WORDS, MIN_COVER, MISMATCH = 12, 0.8, 4
 #: Benchmark words in one block: the most that a task holds of the benchmark at once.
 BLOCK_WORDS = 500_000
@@ -64,11 +68,10 @@ class _Block:
         hashes, at = [], []
         for k, mask in enumerate(MASKS):
             h = _seeds(self.words, mask, k)
-            good = np.flatnonzero(owner[: len(h)] == owner[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
+            good = np.flatnonzero((owner[: len(h)] == owner[len(mask) - 1 :]) & (self.length[owner[: len(h)]] >= SHORT)) if len(h) else np.zeros(0, np.int64)
             hashes.append(h[good])
             at.append(good)
-        # items shorter than a mask are looked for as a whole
-        self.short = {int(n): {} for n in set(self.length.tolist()) if 0 < n < min(map(len, MASKS))}
+        self.short = {int(n): {} for n in set(self.length.tolist()) if 0 < n < SHORT}
         for k, n in enumerate(self.length.tolist()):
             if n in self.short:
                 self.short[n].setdefault(tuple(self.words[self.first[k] : self.first[k + 1]].tolist()), []).append(k)
@@ -80,16 +83,26 @@ class _Block:
         self.filter[self.hashes >> U64(64 - _FILTER_BITS)] = True
 
 
-def _overlap(text: np.ndarray, item: np.ndarray, diagonal: int, at: int) -> tuple[int, int, int]:
-    """Start and end in the text of the best overlap on the diagonal that holds text position at, and its matches."""
+def _overlaps(text: np.ndarray, item: np.ndarray, diagonal: int) -> list[tuple[int, int, int]]:
+    """Start and end in the text of the overlaps on the diagonal that count, and their matches."""
     lo, hi = max(0, diagonal), min(len(text), diagonal + len(item))
     same = text[lo:hi] == item[lo - diagonal : hi - diagonal]
     score = np.concatenate([[0], np.cumsum(np.where(same, 1, -MISMATCH))])
-    p = at - lo
-    start = int(np.argmin(score[: p + 1][::-1]))
-    start = p - start
-    end = p + int(np.argmax(score[p:]))
-    return lo + start, lo + end, int(same[start:end].sum())
+    found, todo = [], [(0, len(same))]
+    while todo:
+        s, e = todo.pop()
+        if min(MIN_WORDS, MIN_COVER * len(item)) > e - s:
+            continue
+        # for every end the first start with no higher score: the least scores so far fall, so a search finds it
+        part = score[s : e + 1]
+        begin = np.searchsorted(-np.minimum.accumulate(part), -part, "left")
+        longest = int(np.argmax(np.arange(len(part)) - begin))
+        start, end = s + int(begin[longest]), s + longest
+        matched = np.flatnonzero(same[start:end])
+        if len(matched) and (len(matched) >= MIN_WORDS or len(matched) >= MIN_COVER * len(item)):
+            found.append((lo + start + int(matched[0]), lo + start + int(matched[-1]) + 1, len(matched)))
+            todo += [(s, start), (end, e)]
+    return found
 
 
 def _scan(blocks: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -98,7 +111,7 @@ def _scan(blocks: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]],
         for b in slices(batches):
             words, first = _words(b.column("text"))
             doc = np.repeat(np.arange(b.num_rows), np.diff(first))
-            found: dict[tuple[int, int, int], int] = {}
+            found: set[tuple[int, int, int]] = set()
             for k, mask in enumerate(MASKS):
                 h = _seeds(words, mask, k)
                 if not len(h):
@@ -111,18 +124,11 @@ def _scan(blocks: list[tuple[int, str]]) -> Callable[[Iterator[pa.RecordBatch]],
                 p, q = np.repeat(hit, n), block.at[which]
                 item = block.owner[q]
                 diagonal = (p - first[doc[p]]) - (q - block.first[item])
-                for key in zip(doc[p].tolist(), item.tolist(), diagonal.tolist(), (p - first[doc[p]]).tolist()):
-                    found.setdefault(key[:3], []).append(key[3])
+                found.update(zip(doc[p].tolist(), item.tolist(), diagonal.tolist()))
             rows = []
-            for (d, i, diagonal), at in found.items():
+            for d, i, diagonal in found:
                 text, item = words[first[d] : first[d + 1]], block.words[block.first[i] : block.first[i + 1]]
-                done = -1
-                for p in sorted(at):
-                    if p >= done:
-                        s, e, same = _overlap(text, item, diagonal, p)
-                        done = max(e, p + 1)
-                        if same >= MIN_WORDS or same >= MIN_COVER * len(item):
-                            rows.append((d, block.ids[i], s, e, same, len(item)))
+                rows += [(d, block.ids[i], s, e, same, len(item)) for s, e, same in _overlaps(text, item, diagonal)]
             for n, wanted in block.short.items():
                 for p in np.flatnonzero(doc[: max(0, len(words) - n + 1)] == doc[n - 1 :]).tolist():
                     for i in wanted.get(tuple(words[p : p + n].tolist()), ()):

@@ -107,6 +107,52 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contaminated_pairs(spark, docs, bench.limit(0)).count() == 0
 
 
+def _decontaminated(texts, items):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    return [tuple(r.values()) for b in decontamination._scan(items)(iter([batch])) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("n", [8, 11, 14, 15, 16, 20])
+def test_decontamination_wherever_words_are_replaced(n):
+    from itertools import combinations
+
+    item = [f"i{k}" for k in range(n)]
+    for replaced in range(n // 5 + 1):
+        texts = [" ".join(["a", "b", *("x" if k in at else w for k, w in enumerate(item)), "c"]) for at in combinations(range(n), replaced)]
+        got = _decontaminated(texts, [(7, " ".join(item))])
+        assert sorted((d, m) for d, _, _, _, m, _ in got) == [(d, n - replaced) for d in range(len(texts))]
+
+
+def test_decontamination_every_fifth_word_replaced():
+    for n in (25, 60, 203):
+        item = [f"i{k}" for k in range(n)]
+        for phase in range(5):
+            text = " ".join("x" if k % 5 == phase else w for k, w in enumerate(item))
+            assert any(m >= 12 for *_, m, _ in _decontaminated([f"lead {text} out"], [(7, " ".join(item))]))
+        # more replaced, and no stretch that is four fifths whole
+        assert not _decontaminated([" ".join("x" if k % 3 == 2 else w for k, w in enumerate(item))], [(7, " ".join(item))])
+
+
+def test_decontamination_seeds_fit_every_placement():
+    from itertools import combinations
+
+    masks = [(sum(1 << i for i, c in enumerate(m) if c == "1"), len(m)) for m in decontamination.MASKS]
+    for n in range(8, 24):
+        left = np.array([sum(1 << i for i in c) for c in combinations(range(n), n // 5)])
+        for bits, size in masks:
+            for at in range(n - size + 1):
+                left = left[left & (bits << at) != 0]
+        assert not len(left)
+
+
+def test_decontamination_of_two_parts():
+    item = [f"i{k}" for k in range(60)]
+    text = [w if k < 20 or k >= 40 else "x" for k, w in enumerate(item)]
+    assert sorted(r[2:5] for r in _decontaminated([" ".join(text)], [(7, " ".join(item))])) == [(0, 20, 20), (40, 60, 20)]
+
+
 def test_chat_format(spark):
     rng = random.Random(7)
     rows = [(c, k, rng.choice(["user", "assistant"]), rng.choice(["a", "b", "<|im_end|>", None])) for c in range(40) for k in range(rng.randint(1, 4))] + [(None, 0, None, "x"), (3, None, "user", "early")]
