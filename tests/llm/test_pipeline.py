@@ -28,3 +28,31 @@ def test_stages(spark, tmp_path):
     left = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/substring_dedup").collect()}
     assert left[14].text == " ".join(docs[14].split()[60:]) and left[14].n_chars == len(left[14].text) and left[13].text == docs[13]
     assert all(left[i].text == clean[i] for i in clean)
+
+
+def test_near_dedup_drops_near_copies(spark):
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(900)]
+    shared = rng.choices(words, k=12)
+    texts = [rng.choices(words, k=rng.randint(30, 120)) + shared for _ in range(25)]
+    for t in texts[:20]:
+        for changes in (1, 2, 4):
+            u = list(t)
+            for at in rng.sample(range(len(u)), changes):
+                u[at] = "other"
+            texts.append(u)
+        texts.append(["Before", *t[:-2], "after"])
+    rng.shuffle(texts)
+    docs = {i: " ".join(t) for i, t in enumerate(texts)} | {900: None, 901: " ", 902: "a b", 903: "A  b", 904: "a b c"}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in docs.items()}
+    label = {i: i for i in docs}
+    for _ in range(6):
+        for a in docs:
+            for b in docs:
+                if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    table = spark.createDataFrame([*docs.items(), (None, docs[0])], "doc_id long, text string")
+    near_dedup = dict(corpus_pipeline.STAGES)["near_dedup"]
+    left = [r.doc_id for r in near_dedup(spark, table, "").collect()]
+    assert sorted(left, key=lambda d: (d is None, d)) == [*sorted(set(label.values())), None]
+    assert 25 < len(set(label.values())) < len(docs) - 30
