@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import Stage, arrow_map, ids_and_texts, slices
 
 #: Labelled training rows that the lexicon and the model are fitted on, at most; and learned terms, at most.
-SAMPLE_ROWS, LEARNED_TERMS = 10_000, 500
+SAMPLE_ROWS, LEARNED_TERMS = 20_000, 4_000
 MIN_DOCS, MIN_PURITY, MIN_STEM, CONTEXT = 3, 0.8, 4, 6
 #: Words whose hits a task remembers.
 CACHE_WORDS = 400_000
@@ -39,10 +39,19 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 _LEARN = "[^\\p{L}\\p{M}]+"
 
 
+def _shortened(word: str, most: int) -> set[str]:
+    """The word and what is left of it without up to ``most`` letters."""
+    out = now = {word}
+    for _ in range(most):
+        now = {w[:i] + w[i + 1 :] for w in now for i in range(len(w))}
+        out = out | now
+    return out
+
+
 class Trie:
-    """Terms with a weight each; a stem also accepts any ending."""
+    """Terms with a weight each; a stem also accepts any ending. ``near`` has other weights for their misspellings."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple[str, bool, float]], near: dict[str, float] | None = None):
         self.root: dict = {}
         self.exact = {t: w for t, _, w in terms}
         for t, stem, w in terms:
@@ -50,32 +59,27 @@ class Trie:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = (t, stem, w)
-        # the automaton walks a trie of the terms that may be misspelt; one of a term's parts is left whole by its edits
+        # the automaton walks a trie of the terms that may be misspelt, with words that share a shortened form with one
         self.loose: dict = {}
-        self.heads: set[tuple[int, str]] = set()
-        self.tails: set[tuple[int, str]] = set()
-        self.middles: list[tuple[int, int, str]] = []
+        self.near: dict[tuple[bool, int], set[str]] = {}
+        lengths: dict[tuple[bool, int], set[int]] = {}
         for t, stem, w in terms:
-            k = 0 if stem else self.allowed(t)
-            if not k:
+            k, w = self.allowed(t), (near or {}).get(t, w)
+            if not k or not w:
                 continue
             node = self.loose
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = (t, stem, w)
-            part = len(t) // (k + 1)
-            for n in range(len(t) - k, len(t) + k + 1):
-                self.heads.add((n, t[:part]))
-                self.tails.add((n, t[-part:]))
-            if k > 1:
-                self.middles.append((len(t), k, t[part : len(t) - part]))
+            self.near.setdefault((stem, k), set()).update(_shortened(t, k))
+            lengths.setdefault((stem, k), set()).update(range(len(t) - k, len(t) + k + 1))
+        self.lengths = {x: sorted(v) for x, v in lengths.items()}
         # neighbours swapped: listed, since a swap may touch both halves of a term
         self.swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: w for t, stem, w in terms if not stem and len(t) > 4 for i in range(len(t) - 1) if t[i] != t[i + 1]}
-        self.parts = sorted({len(x) for _, x in self.heads | self.tails})
 
     @staticmethod
     def allowed(term: str) -> int:
-        return 0 if len(term) < 6 else 1 if len(term) < 12 else 2
+        return 0 if len(term) < 4 else 1 if len(term) < 10 else 2
 
     def stem(self, word: str) -> float | None:
         node = self.root
@@ -88,19 +92,25 @@ class Trie:
                 best = max(best or 0.0, node[""][2])
         return best
 
-    def fuzzy(self, word: str, most: int = 2) -> tuple[float, int] | None:
-        """Weight and distance of the nearest term within its allowed distance: automaton states walk the trie."""
-        best: tuple[int, float] | None = None
+    def fuzzy(self, word: str, most: int = 2) -> tuple[float, int, str] | None:
+        """Weight, distance and name of the nearest term within its allowed distance: automaton states walk the trie.
+
+        A stem is compared with all beginnings of the word, and edits must lie within it: they may not take its last
+        letter away, or every longer word with the letters before that one would match.
+        """
+        best: tuple[int, float, str] | None = None
         todo = [(self.loose, list(range(len(word) + 1)), None, "")]
         while todo:
             node, row, before, last = todo.pop()
             for c, child in node.items():
                 if c == "":
                     term, stem, w = child
-                    if stem or row[-1] > self.allowed(term):
-                        continue
-                    if best is None or (row[-1], -w) < (best[0], -best[1]):
-                        best = (row[-1], w)
+                    far = row[-1]
+                    if stem:
+                        ends = [row[j] for j in range(1, len(word) + 1) if word[j - 1] == term[-1] or (j > 1 and word[j - 2 : j] == term[-1] + term[-2])]
+                        far = min(ends, default=len(term))
+                    if far <= self.allowed(term) and (best is None or (far, -w) < (best[0], -best[1])):
+                        best = (far, w, term)
                     continue
                 nxt = [row[0] + 1]
                 for j, x in enumerate(word, 1):
@@ -110,15 +120,14 @@ class Trie:
                     nxt.append(cost)
                 if min(nxt) <= most:
                     todo.append((child, nxt, row, c))
-        return None if best is None else (best[1], best[0])
+        return None if best is None else (best[1], best[0], best[2])
 
     def may_be_fuzzy(self, word: str) -> bool:
-        n = len(word)
-        if n < 5:
-            return False
-        if any((n, word[:k]) in self.heads or (n, word[-k:]) in self.tails for k in self.parts):
-            return True
-        return any(abs(n - m) <= k and x in word for m, k, x in self.middles)
+        for (stem, k), forms in self.near.items():
+            for n in self.lengths[stem, k]:
+                if (n <= len(word) if stem else n == len(word)) and not forms.isdisjoint(_shortened(word[:n], k)):
+                    return True
+        return False
 
     def hit(self, word: str, common: frozenset[str]) -> tuple[float, float]:
         """(weight of an exact or stem hit, weight of a misspelt hit) of one lower-case word."""
@@ -158,9 +167,9 @@ def _context(words: list[str], at: int, hits: set[int]) -> tuple[bool, bool]:
     return quoted, aimed
 
 
-def _features(terms: list[tuple[str, bool, float]], common: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _features(terms: list[tuple[str, bool, float]], common: frozenset[str], near: dict[str, float] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(terms)
+        trie = Trie(terms, near)
 
         class Known(dict):
             def __missing__(self, w: str) -> tuple[float, float] | None:
@@ -255,6 +264,25 @@ def learn_terms(rows: DataFrame) -> tuple[list[tuple[str, bool, float]], frozens
     return kept, common
 
 
+def _misspelt(terms: list[tuple[str, bool, float]], common: frozenset[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = Trie(terms)
+        for b in batches:
+            got = [(x[2], bad, n) for w, bad, n in zip(*(c.to_pylist() for c in b.columns)) if trie.hit(w, common)[1] and trie.may_be_fuzzy(w) and (x := trie.fuzzy(w))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["t", "bad", "n"])
+
+    return run
+
+
+def near_weights(rows: DataFrame, terms: list[tuple[str, bool, float]], common: frozenset[str]) -> dict[str, float]:
+    """Of the terms whose misspellings labelled rows have, what those tell: 0 if most of them are in clean rows."""
+    words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), _LEARN))).alias("w")).groupBy("w")
+    words = words.agg(F.sum("toxic").cast("long").alias("bad"), F.count(F.lit(1)).alias("n"))
+    seen = arrow_map(words, _misspelt(terms, common), "t string, bad long, n long").groupBy("t").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    own = {t: w for t, _, w in terms}
+    return {r["t"]: min(own[r["t"]], _weight(r["bad"], r["n"])) if 2 * r["bad"] > r["n"] else 0.0 for r in seen.collect()}  # a row a term at most
+
+
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.1) -> tuple[np.ndarray, float]:
     """Logistic regression by Newton steps, drawn slightly to PRIOR; labels of one kind only: PRIOR itself."""
     prior = np.array(PRIOR)
@@ -284,7 +312,7 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     sample = _training_rows(texts, labels, stage)
     terms, common = learn_terms(sample)
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
-    run = _features(terms, common)
+    run = _features(terms, common, near_weights(sample, terms, common))
     known = arrow_map(sample.select("doc_id", "text"), run, schema).join(sample.select("doc_id", "toxic").distinct(), "doc_id").toPandas()  # SAMPLE_ROWS at most
     weights, bias = _fit(known[list(FEATURES)].to_numpy(float), known["toxic"].to_numpy(float))
     z = sum((F.col(f) * float(w) for f, w in zip(FEATURES, weights)), F.lit(bias))

@@ -322,6 +322,24 @@ def test_trie():
     assert t.hit("worthles", frozenset({"worthles"})) == (0.0, 0.0)
 
 
+@pytest.mark.parametrize("term", ["trash", "idiot", "clown", "loser", "scum", "moron", "stupid", "worthless"])
+def test_trie_finds_every_edit(term):
+    t = toxicity.Trie([(w, False, 1.0) for w in toxicity.BUILT_IN])
+    n, x = len(term), "q"
+    edits = {term[:i] + x + term[i:] for i in range(n + 1)} | {term[:i] + term[i + 1 :] for i in range(n)} | {term[:i] + x + term[i + 1 :] for i in range(n)}
+    assert all(t.hit(w, frozenset())[1] for w in edits | {"morron", "idiiot", "clwn"})
+    assert t.hit(term[1:], frozenset({term[1:]})) == (0.0, 0.0)
+
+
+def test_trie_edits_of_long_terms_and_stems():
+    none = frozenset()
+    t = toxicity.Trie([("disgusting", False, 1.0), ("achkeit", True, 0.5), ("abcdefghij", True, 0.5)])
+    assert all(t.hit(w, none)[1] for w in ("disgusitn", "dsgustng", "idsgustnig", "disgusstinng", "dissgustin"))
+    assert not t.hit("dsgstng", none)[1]
+    assert all(t.hit(w, none)[1] for w in ("achkkeitxyz", "ahkeits", "achkextit", "axhkeitlich", "hackeitlich"[1:], "achketi", "abdefgijxx", "abcxxefghijend"))
+    assert not any(t.hit(w, none)[1] for w in ("achkeixyz", "achke", "ackit", "zzachkeit"))
+
+
 def test_lm_scoring(spark, docs, empty):
     import math
 
