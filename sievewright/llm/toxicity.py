@@ -228,10 +228,9 @@ def learn_terms(rows: DataFrame) -> tuple[list[tuple[str, bool, float]], frozens
 
     Counts are of documents, for stems of pairs of a document and a word. What comes to the driver is bounded: LEARNED_TERMS words and stems, as many common words.
     """
-    found = rows.select("toxic", F.array_distinct(F.split(F.lower("text"), _LEARN)).alias("ws"))
-    # copies and near copies would make every word of a toxic text look toxic: of texts whose three least word hashes
-    # agree one is counted
-    found = found.withColumn("sketch", F.slice(F.array_sort(F.transform("ws", lambda w: F.xxhash64(w))), 1, 3)).groupBy("sketch", "toxic").agg(F.first("ws").alias("ws"))
+    found = rows.select("doc_id", "toxic", F.array_sort(F.array_distinct(F.split(F.lower("text"), _LEARN))).alias("ws"))
+    # copies would make every word of a toxic text look toxic: of texts with the same words one is counted
+    found = found.groupBy(F.xxhash64("ws").alias("sketch"), "toxic").agg(F.min_by("ws", "doc_id").alias("ws"))
     words = found.select("toxic", F.explode("ws").alias("w")).where(F.length("w") >= 3)
     def pure(x: DataFrame) -> list:
         return x.where((F.col("bad") >= MIN_DOCS) & (F.col("bad") >= MIN_PURITY * F.col("n"))).orderBy(F.desc("bad"), "w").limit(LEARNED_TERMS).collect()

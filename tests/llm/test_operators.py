@@ -340,6 +340,15 @@ def test_trie_edits_of_long_terms_and_stems():
     assert not any(t.hit(w, none)[1] for w in ("achkeixyz", "achke", "ackit", "zzachkeit"))
 
 
+def test_learned_terms_of_texts_that_share_frequent_words(spark):
+    words = [r.w for r in spark.sql("select concat('wort', translate(id, '0123456789', 'abcdefghij')) w from range(300) order by xxhash64(w)").collect()]
+    low, rest, rng = " ".join(words[:3]), words[3:], random.Random(13)
+    text = lambda i: f"{low} {' '.join(rng.choices(rest, k=20))}" + (" zzorble" if i % 2 else "")
+    rows = [(i, text(i), i % 2) for i in range(80)]
+    terms, _ = toxicity.learn_terms(spark.createDataFrame([*rows, *[(100 + k, rows[1][1] + " onlycopied", 1) for k in range(60)]], "doc_id long, text string, toxic int"))
+    assert "zzorble" in {t for t, _, _ in terms} and "onlycopied" not in {t for t, _, _ in terms}
+
+
 def test_lm_scoring(spark, docs, empty):
     import math
 
