@@ -7,7 +7,6 @@ gives every word's hash in a few passes, and a second polynomial over the word h
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -35,6 +34,7 @@ _LOWER[65:91] += 32
 # --- staged tables -------------------------------------------------------------------------------------------------
 
 _own_dirs: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,14 +81,18 @@ class Stage:
         return p
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        # shuffle files of the written plan are dead now; Spark removes them once the driver collects its garbage
-        gc.collect()
-        self.spark._jvm.System.gc()
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP)
+        conf.set(_CLEANUP, "true")  # the written table replaces the plan's shuffle files: Spark drops them with the query
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, self.path(name))
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, self.path(name))
 
 
 def ids_and_texts(docs: DataFrame) -> DataFrame:
@@ -122,6 +126,30 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
             at = to
 
 
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Non-negative values below 2**35 as bytes of seven bits each, low ones first; row k of the binary column has the values from ends[k] to ends[k + 1]."""
+    v = np.asarray(values, np.int64)
+    size = 1 + sum((v >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(int(at[-1]), np.uint8)
+    for k in range(5):
+        has = np.flatnonzero(size > k)
+        out[at[has] + k] = (v[has] >> 7 * k & 127) | np.where(size[has] > k + 1, 128, 0)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at[ends].astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+
+
+def unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column made by ``packed``, without nulls, and how many each row has."""
+    ends, data = offsets_and_bytes(col.cast(pa.large_binary()))
+    last = data < 128
+    stop = np.flatnonzero(last)
+    start = np.concatenate([[0], stop[:-1] + 1]) if len(stop) else stop
+    place = np.arange(len(data)) - np.repeat(start, stop - start + 1)
+    values = np.add.reduceat((data & 127).astype(np.int64) << (7 * place), start) if len(stop) else np.zeros(0, np.int64)
+    before = np.concatenate([[0], np.cumsum(last)])
+    return values, np.diff(before[ends])
+
+
 # --- hashing -------------------------------------------------------------------------------------------------------
 
 

@@ -1,34 +1,41 @@
 """Token counts: pieces are counted once for each distinct pre-token, joined to the documents' pre-token frequencies.
 
-Each slice of documents yields one row for each distinct pre-token, with the places of its documents in the slice and
-its frequencies there, packed. The distinct pre-tokens of all slices are tokenized once each, and the counts join back by
-pre-token; every match adds count times frequency to its documents. Token ids are never listed. Pre-tokens that are a
-single entry of the tokenizer's own vocabulary, a bounded table, are added up at once and never shuffled.
+The distinct pre-tokens of the corpus are tokenized once each, which gives a table of their 64-bit hashes and piece
+counts; should two pre-tokens share a hash, another seed is taken. Each slice of documents then yields one row for each
+distinct pre-token: its hash, and packed postings, the places of its documents in the slice and its frequencies there.
+These rows join the counts by hash; a task adds count times frequency to its documents, slice by slice, and passes the
+sums on packed. Token ids are never listed. A document's id and size travel through the same join, so no table of the
+frequencies is kept.
 
 A hot pre-token has a row a slice, not a row a document, and its join partition may be split.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_map, ids_and_texts, offsets_and_bytes, slices
+from .common import Stage, arrow_map, ids_and_texts, packed, slices, unpacked
 
 LIMIT = 1024
-SLICE_TEXT, CACHE_UNITS = 1 << 25, 300_000
-#: A posting is one long: the document's place in its slice in the low bits, its frequency above them.
+#: Bytes of text in a slice, at most, but for longer single texts; units that a task remembers; sums that a task holds.
+SLICE_TEXT, CACHE_UNITS, HELD_SUMS = 1 << 25, 600_000, 1 << 22
+#: Bits of a document's place in its slice.
 _PLACE = 24
 #: How the tokenizer splits texts before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters that every Unicode version classes alike; a unit with any other is counted as it is, unsplit.
 _PLAIN = r"[\n\r\t\x20-\x7e¡-ɏ‐-‧‰-⁞]*"
+#: A pre-token always starts at a space between two characters that aren't white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _tokenizer(path: str):
@@ -40,116 +47,215 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class _Units(dict):
-    """Of each unit, a space-delimited part of a text with the space before it: the number of its single-token
-    pre-tokens, or that and its other pre-tokens. Pre-tokens never reach across the start of a unit."""
+class _Spaced(dict):
+    def __init__(self, units: _Units, space: str):
+        self.units, self.space = units, space
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = self.units.add(self.space + word)
+        return got
+
+
+class _Units:
+    """Numbers for the units of texts, parts that start at a single space, and for the pre-tokens in each."""
 
     def __init__(self, path: str):
         import regex
 
-        super().__init__()
-        tokenizer = _tokenizer(path)
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        shown = tokenizer.decoder.decode
-        entries = [s for s in (shown([t]) for t in tokenizer.get_vocab()) if s and "�" not in s and s not in self.special]
-        self.single = set()
-        for at in range(0, len(entries), 4096):
-            part = entries[at : at + 4096]
-            self.single.update(s for s, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)) if len(e) == 1)
+        tokens = _tokenizer(path).get_added_tokens_decoder().values()
+        plain = [t.content for t in tokens if not (t.lstrip or t.rstrip or t.single_word)]
+        self.whole = [t.content for t in tokens if t.content not in plain]
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(plain, key=len, reverse=True))) + ")") if plain else None
         self.split, self.plain = regex.compile(PATTERN).findall, regex.compile(_PLAIN).fullmatch
+        self.clear()
 
-    def __missing__(self, unit: str) -> int | tuple[int, list[str]]:
-        parts = self.split(unit) if self.plain(unit) else [unit]
-        rest = [p for p in parts if p not in self.single]
-        got = self[unit] = (len(parts) - len(rest), rest) if rest else len(parts)
-        return got
+    def clear(self) -> None:
+        self.piece: dict[str, int] = {}
+        self.of: list[int] = []  # pre-tokens of all units, one unit after the other
+        self.ends: list[int] = [0]
+        self.first, self.spaced = _Spaced(self, ""), _Spaced(self, " ")
 
-    def of(self, text: str) -> tuple[int, list[str]]:
-        """The number of single-token pre-tokens of a text, and its other ones. Texts whose units would depend on one
-        another (double or closing spaces, special strings) are a single piece."""
-        if not text:
-            return 0, []
-        if "  " in text or text[-1] == " " or any(s in text for s in self.special):
-            return 0, [text]
-        first, *others = text.split(" ")
-        single, rest = 0, []
-        for got in map(self.__getitem__, [first, *[" " + u for u in others]] if first else [" " + u for u in others]):
-            if type(got) is int:
-                single += got
-            else:
-                single += got[0]
-                rest += got[1]
-        return single, rest
+    def add(self, unit: str) -> int:
+        parts = [unit] if self.special and self.special.fullmatch(unit) or not self.plain(unit) else self.split(unit)
+        self.of += [self.piece.setdefault(p, len(self.piece)) for p in parts]
+        self.ends.append(len(self.of))
+        return len(self.ends) - 2
 
+    def _part(self, text: str) -> list[int]:
+        if not text:
+            return []
+        if "  " in text or text[-1] == " ":
+            first, *others = _CUT.split(text)
+        else:
+            first, *others = text.split(" ")
+        found = list(map(self.spaced.__getitem__, others))
+        if first:
+            found.append(self.first[first])
+        return found
 
-_FREQUENCIES = "chunk long, piece string, postings binary, ids array<long>, bytes array<long>, single array<long>"
+    def __call__(self, text: str) -> list[int]:
+        """The units of a text, in any order."""
+        if self.whole and any(s in text for s in self.whole):
+            return [self.add(text)]
+        if self.special is None or not self.special.search(text):
+            return self._part(text)
+        return [u for k, part in enumerate(self.special.split(text)) for u in ([self.first[part]] if k % 2 else self._part(part))]
 
 
-def _frequencies(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, chunk = _Units(path), count(TaskContext.get().partitionId() << 32)
+        units, told = _Units(path), 0
         for b in slices(batches, most=SLICE_TEXT):
-            if len(units) > CACHE_UNITS:
+            if len(units.ends) > CACHE_UNITS:
                 units.clear()
-            place: dict[str, int] = {}
-            pieces, owners, single, size = [], [], [], []
-            for k, t in enumerate(b.column("text").to_pylist()):
-                n, rest = units.of(t)
-                single.append(n)
-                size.append(len(t.encode()))
-                pieces += [place.setdefault(p, len(place)) for p in rest]
-                owners += [k] * len(rest)
-            key, times = np.unique((np.array(pieces, np.int64) << _PLACE) | np.array(owners, np.int64), return_counts=True)
-            postings = ((key & ((1 << _PLACE) - 1)) | (times << _PLACE)).astype("<i8")
-            ends = (8 * np.searchsorted(key >> _PLACE, np.arange(len(place) + 1))).astype(np.int32)
-            m, n = len(place), next(chunk)
-            lists = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, pa.int64()))
-            names, kinds = ["chunk", "piece", "postings", "ids", "bytes", "single"], [pa.int64(), pa.string(), pa.binary(), *[pa.list_(pa.int64())] * 3]
-            if m:
-                packed = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends), pa.py_buffer(postings)])
-                rows = [pa.array(np.full(m, n)), pa.array(list(place), pa.string()), packed, *[pa.nulls(m, k) for k in kinds[3:]]]
-                yield pa.RecordBatch.from_arrays(rows, names)
-            head = [pa.array([n]), pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), lists(b.column("doc_id").to_pylist()), lists(size), lists(single)]
-            yield pa.RecordBatch.from_arrays(head, names)
+                told = 0
+            for t in b.column("text").to_pylist():
+                units(t)
+            names = list(units.piece)[told:]
+            told += len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["piece"])
 
     return run
 
 
-def _counted(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counted(path: str, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         for b in slices(batches, text="piece"):
-            lengths = [len(e) for e in tokenizer.encode_batch_fast(b.column("piece").to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(lengths, pa.int64())], ["piece", "n"])
+            pieces = b.column("piece").to_pylist()
+            lengths = [len(e) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([_hashes(pieces, seed), pa.array(lengths, pa.int64())], ["key", "n"])
+
+    return run
+
+
+def _hashes(pieces: list[str], seed: int) -> pa.Array:
+    return pa.array(np.array([xxhash.xxh3_64_intdigest(p.encode(), seed) for p in pieces], np.uint64).view(np.int64))
+
+
+_FREQUENCIES = "key long, chunk long, docs int, postings binary, ids array<long>, bytes array<long>"
+
+
+def _frequencies(path: str, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, chunk, hashed = _Units(path), count(TaskContext.get().partitionId() << 32), np.zeros(0, np.int64)
+        for b in slices(batches, most=SLICE_TEXT):
+            if len(units.ends) > CACHE_UNITS:
+                units.clear()
+                hashed = hashed[:0]
+            found, sizes, size = [], [], []
+            for t in b.column("text").to_pylist():
+                u = units(t)
+                found += u
+                sizes.append(len(u))
+                size.append(len(t.encode()))
+            n, docs = next(chunk), b.num_rows
+            owner = np.repeat(np.arange(docs), sizes)
+            key, times = np.unique((np.array(found, np.int64) << _PLACE) | owner, return_counts=True)
+            of, ends = np.array(units.of, np.int64), np.array(units.ends, np.int64)
+            unit, owner = key >> _PLACE, key & (1 << _PLACE) - 1
+            per = ends[unit + 1] - ends[unit]
+            piece = of[np.repeat(ends[unit] - np.cumsum(per) + per, per) + np.arange(per.sum())]
+            key, back = np.unique((piece << _PLACE) | np.repeat(owner, per), return_inverse=True)
+            times = np.bincount(back, weights=np.repeat(times, per), minlength=len(key)).astype(np.int64)
+            piece, place = key >> _PLACE, key & (1 << _PLACE) - 1
+            begin = np.flatnonzero(np.diff(piece, prepend=-1))
+            step = np.diff(place, prepend=0)
+            step[begin] = place[begin]
+            if len(units.piece) > len(hashed):
+                hashed = np.concatenate([hashed, _hashes(list(units.piece)[len(hashed) :], seed).to_numpy()])
+            m = len(begin)
+            if m:
+                postings = packed(np.column_stack([step, times]).ravel(), 2 * np.append(begin, len(key)))
+                rows = [pa.array(hashed[piece[begin]]), pa.array(np.full(m, n)), pa.array(np.full(m, docs, np.int32)), postings, *[pa.nulls(m, pa.list_(pa.int64()))] * 2]
+                yield pa.RecordBatch.from_arrays(rows, ["key", "chunk", "docs", "postings", "ids", "bytes"])
+            listed = [pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), pa.array(v, pa.int64())) for v in (b.column("doc_id").to_pylist(), size)]
+            head = [_hashes([f"head of {n}"], seed), pa.array([n]), pa.array([docs], pa.int32()), pa.nulls(1, pa.binary()), *listed]
+            yield pa.RecordBatch.from_arrays(head, ["key", "chunk", "docs", "postings", "ids", "bytes"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums by chunk and place, packed, as many at once as HELD_SUMS; rows with ids pass."""
+    slot: dict[int, int] = {}
+    total = np.zeros(1 << 16, np.int64)
+    used = 0
+
+    def flush() -> pa.RecordBatch:
+        chunks, begin = list(slot), list(slot.values())
+        at = np.flatnonzero(total[:used])
+        ends = np.searchsorted(at, [*begin, used])
+        step = np.diff(at, prepend=0)
+        first = ends[:-1][ends[:-1] < ends[1:]]
+        step[first] = (at - np.repeat(begin, np.diff(ends)))[first]
+        sums = packed(np.column_stack([step, total[at]]).ravel(), 2 * ends)
+        none = pa.nulls(len(chunks), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), sums, none, none], ["chunk", "sums", "ids", "bytes"])
+
+    for b in batches:
+        heads = b.filter(b.column("ids").is_valid())
+        if heads.num_rows:
+            yield pa.RecordBatch.from_arrays([heads.column("chunk"), pa.nulls(heads.num_rows, pa.binary()), heads.column("ids"), heads.column("bytes")], ["chunk", "sums", "ids", "bytes"])
+        b = b.filter(b.column("postings").is_valid())
+        if not b.num_rows:
+            continue
+        chunk, docs = b.column("chunk").to_numpy(), b.column("docs").to_numpy()
+        for c, k in zip(*np.unique(chunk, return_index=True)):
+            if int(c) not in slot:
+                slot[int(c)] = used
+                used += int(docs[k])
+        if used > len(total):
+            total = np.concatenate([total, np.zeros(max(used, 2 * len(total)) - len(total), np.int64)])
+        values, per = unpacked(b.column("postings"))
+        step, times, per = values[0::2], values[1::2], per // 2
+        row = np.repeat(np.arange(b.num_rows), per)
+        run = np.cumsum(step)
+        begin = np.cumsum(per) - per
+        place = run - np.repeat(run[begin] - step[begin], per)
+        at = np.array([slot[int(c)] for c in chunk])[row] + place
+        np.add.at(total, at, times * b.column("n").to_numpy()[row])
+        if used > HELD_SUMS:
+            yield flush()
+            slot.clear()
+            total, used = np.zeros(1 << 16, np.int64), 0
+    if slot:
+        yield flush()
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, kinds = ["chunk", "place", "doc_id", "n_bytes", "tokens"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for b in batches:
-        ends, data = offsets_and_bytes(b.column("postings").cast(pa.large_binary()))
-        posting = np.frombuffer(data.tobytes(), "<i8")
-        per = np.diff(ends) // 8
-        kinds, at = np.unique(b.column("chunk").to_numpy(), return_inverse=True)
-        tokens = (posting >> _PLACE) * np.repeat(b.column("n").to_numpy(), per)
-        key, back = np.unique((np.repeat(at, per) << _PLACE) | (posting & ((1 << _PLACE) - 1)), return_inverse=True)
-        total = np.bincount(back, weights=tokens, minlength=len(key)).astype(np.int64)
-        chunk = kinds[key >> _PLACE] if len(key) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array((key & ((1 << _PLACE) - 1)).astype(np.int32)), pa.array(total)], ["chunk", "place", "tokens"])
+        for c, ids, size in zip(*(b.filter(b.column("ids").is_valid()).column(k).to_pylist() for k in ("chunk", "ids", "bytes"))):
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([c] * len(ids), range(len(ids)), ids, size, [0] * len(ids)), kinds)], names)
+        b = b.filter(b.column("sums").is_valid())
+        values, per = unpacked(b.column("sums"))
+        step, per = values[0::2], per // 2
+        run, begin = np.cumsum(step), np.cumsum(per) - per
+        has = begin[per > 0]
+        place = run - np.repeat(run[has] - step[has], per[per > 0])
+        m = len(place)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("chunk").to_numpy(), per)), pa.array(place.astype(np.int32)), *[pa.nulls(m, pa.int64())] * 2, pa.array(values[1::2])], names)
 
 
 def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row, for a byte-level tokenizer file with the pattern above.
 
-    Null and empty texts have no tokens. Every row counts for itself, also repeated rows and null doc_ids.
+    Null and empty texts have no tokens. Every row counts for itself, also repeated rows and null doc_ids; ties don't
+    arise. An empty table gives an empty result. Columns other than doc_id and text are ignored, whatever their names.
+    A text longer than a slice is a slice of its own.
     """
-    stage = Stage(spark, "tokens")
-    table = stage.keep(arrow_map(ids_and_texts(docs), _frequencies(tokenizer), _FREQUENCIES), "frequencies")
-    rows = table.where("piece is not null").select("chunk", "piece", "postings")
-    counts = arrow_map(rows.select("piece").distinct(), _counted(tokenizer), "piece string, n long")
-    sums = arrow_map(rows.join(counts, "piece").select("chunk", "postings", "n"), _summed, "chunk long, place int, tokens long")
-    sums = sums.groupBy("chunk", "place").agg(F.sum("tokens").alias("tokens"))
-    heads = table.where("piece is null").select("chunk", F.posexplode(F.arrays_zip("ids", "bytes", "single")).alias("place", "d"))
-    out = heads.join(sums, ["chunk", "place"], "left")
-    n = F.col("d.single") + F.coalesce("tokens", F.lit(0).cast("long"))
-    return out.select(F.col("d.ids").alias("doc_id"), F.col("d.bytes").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    stage, texts = Stage(spark, "tokens"), ids_and_texts(docs)
+    pieces = arrow_map(texts.select("text"), _pieces(tokenizer), "piece string").distinct()
+    for seed in count():
+        counts = stage.keep(arrow_map(pieces, _counted(tokenizer, seed), "key long, n long"), f"counts{seed}")
+        if counts.groupBy("key").count().where("count > 1").isEmpty():
+            break
+        stage.drop(f"counts{seed}")
+    rows = arrow_map(texts, _frequencies(tokenizer, seed), _FREQUENCIES)
+    # by merge: a broadcast of the counts would grow with the vocabulary
+    joined = rows.join(counts.hint("merge"), "key", "left").select("chunk", "docs", "postings", "ids", "bytes", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = arrow_map(joined, _summed, "chunk long, sums binary, ids array<long>, bytes array<long>").repartition("chunk")
+    by_document = arrow_map(sums, _by_document, "chunk long, place int, doc_id long, n_bytes long, tokens long")
+    out = by_document.groupBy("chunk", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
