@@ -95,6 +95,21 @@ class Stage:
             _delete(self.spark, self.path(name))
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name like ``name`` that clashes with none of ``taken``, in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose doc_id isn't among those of gone (one column of longs); null doc_ids stay."""
+    name = fresh("gone", docs.columns)
+    gone = gone.toDF(name)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text only: other columns, whatever their names, never reach the operators' internals."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, U64, arrow_map, ids_and_texts, mix, offsets_and_bytes, slices, span_hashes, word_spans
+from .common import _LOWER, U64, arrow_map, ids_and_texts, mix, offsets_and_bytes, slices, span_hashes, without, word_spans
 
 #: 1: the word counts, 0: it may differ. In every stretch of 8 to 23 words with at most one in five replaced one mask
 #: fits at least, wherever the replaced ones are (tested), and any longer stretch has such a part of 12 to 23 words.
@@ -184,5 +184,4 @@ def contaminated_pairs(spark: SparkSession, docs: DataFrame, benchmark: DataFram
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents, columns as in docs, that overlap no benchmark item; rows with a null doc_id stay."""
-    bad = overlaps(docs, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return without(docs, overlaps(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_map, components, ids_and_texts
+from .common import Stage, arrow_map, components, ids_and_texts, without
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -100,5 +100,4 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Columns are those of docs. Empty texts form one group. Rows with a null doc_id stay. Repeated rows (one doc_id
     more than once) all stay if that doc_id is its group's first.
     """
-    gone = near_duplicates(spark, docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return without(docs, near_duplicates(spark, docs).where("doc_id <> component_id").select("doc_id"))

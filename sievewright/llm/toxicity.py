@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_map, ids_and_texts, slices
+from .common import Stage, arrow_map, ids_and_texts, slices, without
 
 #: Labelled training rows that the lexicon and the model are fitted on, at most; and learned terms, at most.
 SAMPLE_ROWS, LEARNED_TERMS = 20_000, 4_000
@@ -322,5 +322,4 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, columns as in docs, that are not predicted toxic; rows with a null doc_id stay."""
-    bad = scores(spark, docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long") == F.col("_bad"), "left_anti")
+    return without(docs, scores(spark, docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct())
