@@ -20,7 +20,8 @@ U64 = np.uint64
 _MASK = (1 << 64) - 1
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = 0xC2B2AE3D27D4EB4F | 1
-_P_INV, _Q_INV = pow(_P, -1, 1 << 64), pow(_Q, -1, 1 << 64)
+_OTHER_P = 0xD1B54A32D192ED03
+_P_INV, _OTHER_P_INV, _Q_INV = (pow(x, -1, 1 << 64) for x in (_P, _OTHER_P, _Q))
 #: Text bytes handled at once inside a task, whatever the size of the Arrow batch.
 SLICE_BYTES = 1 << 21
 _BLOCK = 1 << 20
@@ -209,8 +210,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _IS_SP
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of the byte spans, block by block so that memory stays within a few MB for any length."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, other: bool = False) -> np.ndarray:
+    """64-bit hashes of the byte spans, block by block so that memory stays within a few MB for any length; ``other``
+    gives independent ones."""
+    multiplier, inverse = (_OTHER_P, _OTHER_P_INV) if other else (_P, _P_INV)
     out = np.empty(len(starts), U64)
     at = 0
     while at < len(starts):
@@ -222,9 +225,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         n = len(piece)
         total = np.empty(n + 1, U64)
         total[0] = 0
-        np.cumsum((piece.astype(U64) + U64(1)) * powers(_P, n)[:n], out=total[1:])
+        np.cumsum((piece.astype(U64) + U64(1)) * powers(multiplier, n)[:n], out=total[1:])
         s, e = starts[at:to] - base, ends[at:to] - base
-        out[at:to] = (total[e] - total[s]) * powers(_P_INV, n)[s] + (e - s).astype(U64) * U64(0xA0761D6478BD642F)
+        out[at:to] = (total[e] - total[s]) * powers(inverse, n)[s] + (e - s).astype(U64) * U64(0xA0761D6478BD642F)
         at = to
     return mix(out)
 

@@ -1,19 +1,21 @@
 """Substring dedup: every word covered by a 20-word window that starts earlier elsewhere is removed.
 
-The windows are the edges of a De Bruijn graph over words, and only repeated edges matter:
-
-1. Candidates. Each window is named by its minimizer, the least hash among its 6-word runs (about one in eight
-   positions is the minimizer of some window). Equal windows have equal minimizers at equal places, so a window whose
-   minimizer occurs once in the corpus can't repeat. Counting minimizers is one partially aggregated shuffle.
-2. Edges. Only windows of repeated minimizers are hashed and grouped; each group gives the edge's first source
-   coordinate (smallest doc_id, then start) and its number of occurrences. Joining those back to the occurrences marks
-   the repeated ones.
-3. Paths. Consecutive repeated edges of a document whose first coordinates are consecutive too, with equal counts, are
-   a nonbranching path and compact to one row (start, length, source coordinates).
-4. Verification. Both ends of every path, the document's own span and its source's, are read again from the texts at
-   those coordinates, and the path stands only if the 128-bit digests of the words agree.
-
-Group sizes never matter: minimizers and edges aggregate before they shuffle, joins are plain equi-joins that
+The windows are the edges of a De Bruijn graph whose nodes are runs of 19 words, and only repeated edges matter:
+
+1. Cores. Each window is named by its minimizer, the least hash among its 6-word runs; consecutive windows that share
+   one (eight or so) are a fragment, a piece of path. Equal windows have equal minimizers at equal places, so only
+   fragments whose core occurs again in the corpus can hold a repeated edge. Cores are counted in partial sums.
+2. Classes. Equal fragments, by a 128-bit key, are one class with its number of occurrences and its first coordinate. All
+   edges of a later occurrence are repeats. Where a core has several classes the paths run together and part, so these
+   classes, each once, are taken apart into single edges, grouped by 128-bit keys for their first coordinates.
+3. Paths. In- and out-degrees of the nodes at the ends of classes tell where the graph branches. A join on nodes links a
+   repeated class to the one after it if their node has one edge in and one out, they occur equally often, and their
+   first coordinates are consecutive; linked classes are compacted to a nonbranching path. Every occurrence of a path is
+   put together from its fragments by their diagonal, occurrence less source.
+4. Verification. The spans of an occurrence and of its source are read again from the texts at those coordinates, and
+   the words count as repeated only if the 128-bit digests of the texts agree.
+
+Group sizes never matter: cores, classes and edges aggregate before they shuffle, joins are plain equi-joins that
 adaptive execution may split, and per-document lists are no longer than the document.
 """
 
@@ -28,13 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_map, ids_and_texts, offsets_and_bytes, slices, span_hashes, window_hashes, word_spans
+from .common import U64, Stage, arrow_map, fresh, ids_and_texts, mix, offsets_and_bytes, slices, span_hashes, window_hashes, word_spans
 
 WINDOW, CORE = 20, 6
 
 
 class _Words:
-    """The words of a slice of documents and, for each of their windows, where its minimizer starts."""
+    """The words of a slice of documents, its windows, and its fragments: first window and number of windows."""
 
     def __init__(self, texts: pa.Array):
         off, self.data = offsets_and_bytes(texts)
@@ -43,47 +45,86 @@ class _Words:
         self.hashes = span_hashes(self.data, self.starts, self.ends)
         n = len(self.hashes)
         if n < WINDOW:
-            self.windows, self.core, self.at = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            self.fragments = self.n = self.at = np.zeros(0, np.int64)
+            self.core = np.zeros(0, U64)
             return
-        g = self.core = window_hashes(self.hashes, CORE)
+        g = window_hashes(self.hashes, CORE)
         least, span, want = np.arange(len(g)), 1, WINDOW - CORE + 1
         while span < want:
             step = min(span, want - span)
             a, b = least[:-step], least[step:]
             least = np.where(g[a] <= g[b], a, b)
             span += step
-        self.windows = np.flatnonzero(self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :])
-        self.at = least[self.windows]
+        windows = np.flatnonzero(self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :])
+        least = least[windows]
+        # places of minimizers rise with the windows, so a change of place begins a fragment
+        begin = np.flatnonzero(np.diff(least, prepend=-1))
+        self.fragments, self.n = windows[begin], np.diff(np.append(begin, len(windows)))
+        self.core, self.at = g[least[begin]], self.fragments - self.first[self.doc[self.fragments]]
 
-    def minimizers(self) -> np.ndarray:
-        return self.at[np.flatnonzero(np.diff(self.at, prepend=-1))] if len(self.at) else self.at
+    def keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of every run of k words."""
+        return window_hashes(self.hashes, k, 0x51), window_hashes(span_hashes(self.data, self.starts, self.ends, other=True), k, 0x52)
 
 
-def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        core, c = np.unique(_Words(b.column("text")).core, return_counts=True)
+        yield pa.RecordBatch.from_arrays([_long(core), pa.array(c)], ["core", "c"])
+
+
+_FRAGMENTS = "core long, a long, b long, u long, w long, n int, doc_id long, v long, start int"
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         w = _Words(b.column("text"))
-        at = w.minimizers()
-        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(w.core[at].view(np.int64)), pa.array(ids[w.doc[at]].astype(np.int64)), pa.array((at - w.first[w.doc[at]]).astype(np.int32))],
-            ["core", "doc_id", "pos"],
-        )
+        s, n = w.fragments, w.n
+        # the first and the last window of a fragment cover it
+        a, other = (mix(x[s] * U64(3) + mix(x[s + n - 1]) + n.astype(U64)) for x in w.keys(WINDOW)) if len(s) else (w.core, w.core)
+        nodes = window_hashes(w.hashes, WINDOW - 1)
+        doc = w.doc[s]
+        columns = [_long(w.core), _long(a), _long(other), _long(nodes[s]), _long(nodes[s + n]), pa.array(n.astype(np.int32)), *(b.column(c).take(pa.array(doc)) for c in ("doc_id", "v")), pa.array(w.at.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["core", "a", "b", "u", "w", "n", "doc_id", "v", "start"])
+
+
+def _asked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and n of the list ``asked`` of every row."""
+    lists = b.column("asked")
+    flat = lists.flatten()
+    row = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+    return row, *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         w = _Words(b.column("text"))
-        lists = b.column("at")
-        n = np.diff(lists.offsets.to_numpy())
-        wanted = np.repeat(w.first[:-1], n) + lists.flatten().to_numpy(zero_copy_only=False)
-        keep = np.isin(w.at, wanted)
-        s = w.windows[keep]
-        key = window_hashes(w.hashes, WINDOW, seed=0x51)[s]
-        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key.view(np.int64)), pa.array(ids[w.doc[s]].astype(np.int64)), pa.array((s - w.first[w.doc[s]]).astype(np.int32))],
-            ["key", "doc_id", "start"],
-        )
+        row, start, n = _asked(b)
+        row, at = np.repeat(row, n), np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x, y = (k[w.first[row] + at] for k in w.keys(WINDOW))
+        columns = [_long(x), _long(y), *(b.column(c).take(pa.array(row)) for c in ("doc_id", "v")), pa.array(at.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(columns, ["x", "y", "doc_id", "v", "start"])
+
+
+_SPANS = "doc_id long, v long, start int, n int, src long, src_v long, src_start int"
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts on one diagonal, put together where they touch."""
+    for b in batches:
+        out = []
+        for doc_id, v, src, src_v, off, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "v", "src", "src_v", "off", "parts"))):
+            for p in sorted(parts, key=lambda p: p["start"]):
+                if out and out[-1][:2] == [doc_id, v] and out[-1][4:] == [src, src_v, out[-1][2] - off] and out[-1][2] + out[-1][3] == p["start"]:
+                    out[-1][3] += p["n"]
+                else:
+                    out.append([doc_id, v, p["start"], p["n"], src, src_v, p["start"] - off])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "v", "start", "n", "src", "src_v", "src_start"])
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,50 +133,81 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off, data = offsets_and_bytes(b.column("text"))
         starts, ends, first = word_spans(data, off)
         raw = data.tobytes()
-        rows = []
-        for i, (doc_id, asked) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("asked").to_pylist())):
-            for a in asked:
-                lo, hi = first[i] + a["start"], first[i] + a["start"] + a["n"] + WINDOW - 1
-                if hi <= first[i + 1]:
-                    words = raw[starts[lo] : ends[hi - 1]].split()
-                    rows.append((doc_id, a["start"], a["n"], hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-        kinds = {"doc_id": pa.int64(), "start": pa.int32(), "n": pa.int32(), "digest": pa.binary()}
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
-
-
-def repeated_spans(spark: SparkSession, docs: DataFrame, stage: Stage) -> DataFrame:
-    """(doc_id, spans array<struct<start, n>>): the repeated windows n from start on, for documents that have any."""
-    texts = ids_and_texts(docs).where("doc_id is not null")
-    mini = arrow_map(texts, _minimizers, "core long, doc_id long, pos int")
-    repeated = mini.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core")
-    found = stage.keep(mini.join(repeated, "core").groupBy("doc_id").agg(F.collect_list("pos").alias("at")), "minimizers")
-    edges = stage.keep(arrow_map(texts.join(found, "doc_id"), _edges, "key long, doc_id long, start int"), "edges")
-    stage.drop("minimizers")
-    first = edges.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    first = stage.keep(first, "first")  # lets the aggregate's shuffle files go before the join writes its own
-    again = edges.join(first, "key").where("doc_id <> f.doc_id or start <> f.start").select("doc_id", "start", F.col("f.doc_id").alias("src"), F.col("f.start").alias("src_start"), "c")
-    order = W.partitionBy("doc_id").orderBy("start")
-    before = {x: F.lag(x).over(order) for x in ("start", "src", "src_start", "c")}
-    same = (before["start"] + 1 == F.col("start")) & (before["src"] == F.col("src")) & (before["src_start"] + 1 == F.col("src_start")) & (before["c"] == F.col("c"))
-    paths = (
-        again.withColumn("new", F.when(same, 0).otherwise(1))
-        .withColumn("path", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy("doc_id", "path")
-        .agg(F.min("start").alias("start"), F.count(F.lit(1)).cast("int").alias("n"), F.min("src").alias("src"), F.min("src_start").alias("src_start"))
-    )
-    paths = stage.keep(paths.drop("path"), "paths")
-    stage.drop("edges")
-    stage.drop("first")
-    return _verified(texts, paths, stage)
+        row, start, n = _asked(b)
+        lo, hi = first[row] + start, first[row] + start + n + WINDOW - 1
+        found = [hashlib.blake2b(b" ".join(raw[s:e].split()), digest_size=16).digest() for s, e in zip(starts[lo].tolist(), ends[hi - 1].tolist())]
+        columns = [*(b.column(c).take(pa.array(row)) for c in ("doc_id", "v")), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(found, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "v", "start", "n", "digest"])
+
+
+def _version(docs: DataFrame, stage: Stage) -> F.Column:
+    """What tells apart the rows of one doc_id: a hash of the text if any doc_id is repeated, else 0."""
+    again = ids_and_texts(docs).where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def _classes(texts: DataFrame, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Occurrences of the fragments with a repeated core, and their classes: key, end nodes, first coordinate f, count c."""
+    cores = arrow_map(texts.select("text"), _cores, "core long, c long").groupBy("core").agg(F.sum("c").alias("c")).where("c > 1").select("core")
+    cores = stage.keep(cores, "cores")
+    # by merge: the repeated cores grow with the corpus
+    found = stage.keep(arrow_map(texts, _fragments, _FRAGMENTS).join(cores.hint("merge"), "core", "left_semi"), "fragments")
+    stage.drop("cores")
+    classes = found.groupBy("core", "a", "b", "u", "w", "n").agg(F.min(F.struct("doc_id", "v", "start")).alias("f"), F.count(F.lit(1)).alias("c"))
+    return found, stage.keep(classes, "classes")
+
+
+def _paths(classes: DataFrame) -> DataFrame:
+    """(a, b, f, path) of the repeated classes: path numbers the nonbranching paths of one source document."""
+    leaving, coming = (classes.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias(c)) for c in "uw")
+    straight = leaving.join(coming, "node").where("u = 1 and w = 1").select("node")
+    repeated = classes.where("c > 1")
+    before = repeated.select(F.col("w").alias("node"), F.col("f").alias("g"), F.col("n").alias("m"), F.col("c").alias("d"))
+    after = repeated.select("a", "b", F.col("u").alias("node"), "f", "c")
+    linked = straight.join(before.hint("merge"), "node").join(after.hint("merge"), "node")
+    linked = linked.where("c = d and f.doc_id = g.doc_id and f.v = g.v and f.start = g.start + m").select("a", "b", F.lit(0).alias("new")).distinct()
+    order = W.partitionBy("f.doc_id", "f.v").orderBy("f.start").rowsBetween(W.unboundedPreceding, 0)
+    marked = repeated.select("a", "b", "f").join(linked, ["a", "b"], "left").withColumn("path", F.sum(F.coalesce("new", F.lit(1))).over(order))
+    return marked.select("a", "b", "f", "path")
+
+
+def _repeated_edges(texts: DataFrame, classes: DataFrame, stage: Stage) -> DataFrame:
+    """Single edges, in the first occurrences of classes that share a core with others, that occur earlier elsewhere."""
+    shared = classes.groupBy("core").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("core")
+    places = classes.join(shared.hint("merge"), "core", "left_semi").select("f.doc_id", "f.v", "f.start", "n")
+    asked = places.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
+    edges = stage.keep(arrow_map(texts.join(asked, ["doc_id", "v"]), _edges, "x long, y long, doc_id long, v long, start int"), "edges")
+    first = edges.groupBy("x", "y").agg(F.min(F.struct("doc_id", "v", "start")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1").select("x", "y", "f")
+    first = stage.keep(first, "first")
+    later = edges.join(first.hint("merge"), ["x", "y"]).where("f <> struct(doc_id, v, start)")
+    return later.select("doc_id", "v", "start", F.lit(1).alias("n"), "f", F.lit(-1).cast("long").alias("path"))
+
+
+def repeated_spans(docs: DataFrame, version: F.Column, stage: Stage) -> DataFrame:
+    """(doc_id, v, spans array<struct<start, n>>): the repeated windows n from start on, for rows that have any."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), version.alias("v")).where("doc_id is not null")
+    fragments, classes = _classes(texts, stage)
+    paths = stage.keep(_paths(classes), "compacted")
+    later = fragments.select("a", "b", "n", "doc_id", "v", "start").join(paths.hint("merge"), ["a", "b"]).where("f <> struct(doc_id, v, start)")
+    later = later.select("doc_id", "v", "start", "n", "f", "path").unionByName(_repeated_edges(texts, classes, stage))
+    later = later.select("doc_id", "v", "start", "n", F.col("f.doc_id").alias("src"), F.col("f.v").alias("src_v"), (F.col("start") - F.col("f.start")).alias("off"), "path")
+    parts = later.groupBy("doc_id", "v", "src", "src_v", "off", "path").agg(F.collect_list(F.struct("start", "n")).alias("parts"))
+    spans = stage.keep(arrow_map(parts, _stretches, _SPANS), "paths")
+    stage.drop("fragments", "classes", "compacted", "edges", "first")
+    return _verified(texts, spans, stage)
 
 
 def _verified(texts: DataFrame, paths: DataFrame, stage: Stage) -> DataFrame:
-    spans = paths.select("doc_id", "start", "n").unionByName(paths.select(F.col("src").alias("doc_id"), F.col("src_start").alias("start"), "n")).distinct()
-    asked = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
-    digests = stage.keep(arrow_map(texts.join(asked, "doc_id"), _digests, "doc_id long, start int, n int, digest binary").distinct(), "digests")
-    source = digests.select(F.col("doc_id").alias("src"), F.col("start").alias("src_start"), "n", F.col("digest").alias("wanted"))
-    good = paths.join(digests, ["doc_id", "start", "n"]).join(source, ["src", "src_start", "n"]).where("digest = wanted").select("doc_id", "start", "n").distinct()
-    return stage.keep(good.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")), "spans")
+    own = paths.select("doc_id", "v", "start", "n")
+    spans = own.unionByName(paths.select(F.col("src").alias("doc_id"), F.col("src_v").alias("v"), F.col("src_start").alias("start"), "n")).distinct()
+    asked = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "n")).alias("asked"))
+    digests = arrow_map(texts.join(asked, ["doc_id", "v"]), _digests, "doc_id long, v long, start int, n int, digest binary").distinct()
+    digests = stage.keep(digests, "digests")
+    source = digests.select(F.col("doc_id").alias("src"), F.col("v").alias("src_v"), F.col("start").alias("src_start"), "n", F.col("digest").alias("wanted"))
+    good = paths.join(digests.hint("merge"), ["doc_id", "v", "start", "n"]).join(source.hint("merge"), ["src", "src_v", "src_start", "n"]).where("digest = wanted")
+    good = stage.keep(good.groupBy("doc_id", "v").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
+    stage.drop("paths", "digests")
+    return good
 
 
 def _kept_words(text: bytes, spans: list[dict]) -> tuple[int, int, bytes]:
@@ -156,17 +228,26 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _with_spans(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents and, in a column of the returned name, the spans of each row; null doc_ids have none."""
+    stage = Stage(docs.sparkSession, "substring")
+    version = _version(docs, stage)
+    name, key, v = (fresh(n, docs.columns) for n in ("spans", "span_doc", "span_v"))
+    spans = repeated_spans(docs, version, stage).select(F.col("doc_id").alias(key), F.col("v").alias(v), F.col("spans").alias(name))
+    return docs.join(spans, (docs["doc_id"].cast("long") == spans[key]) & (version == spans[v]), "left").drop(key, v), name
+
+
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row; kept is the words left, joined by one space.
 
-    Words are runs of bytes other than space and tab to carriage return. Null texts have no words. A row with a null
-    doc_id has no place in the order: it is returned whole and is nobody's source. Rows that share a doc_id are one
-    document: their windows share coordinates, and what repeats is removed from each of them at those coordinates.
+    Words are runs of bytes other than space and tab to carriage return. Null texts have no words, an empty table has
+    no rows. A row with a null doc_id has no place in the order: it is returned whole and is nobody's source. Rows of one
+    doc_id with different texts follow one another by a hash of their texts; equal rows are one document, whose repeats
+    go from each. Columns other than doc_id and text are ignored.
     """
-    stage = Stage(spark, "substring")
-    spans = repeated_spans(spark, docs, stage)
-    joined = ids_and_texts(docs).join(spans, "doc_id", "left")
-    return arrow_map(joined.select("doc_id", "text", "spans"), _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    docs = ids_and_texts(docs)
+    joined, name = _with_spans(docs)
+    return arrow_map(joined.select("doc_id", "text", F.col(name).alias("spans")), _kept, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -174,9 +255,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Documents without repeats are left as they are. Documents of which nothing is left keep an empty text.
     """
-    stage = Stage(spark, "substring")
-    spans = repeated_spans(spark, docs, stage).select(F.col("doc_id").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, F.col("doc_id").cast("long") == F.col("_doc"), "left")
+    joined, name = _with_spans(docs)
     schema, names = docs.schema, docs.columns
     at = names.index("text")
 
@@ -188,7 +267,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(new, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    out = joined.select(*[docs[c] for c in names], "_spans").mapInArrow(rewrite, schema)
+    out = joined.select(*[docs[c] for c in names], name).mapInArrow(rewrite, schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
     return out
