@@ -1,17 +1,23 @@
-"""Column builders for estimated token counts, truncation and white space; all of them run inside the JVM."""
+"""Column builders for estimated token counts, truncation, words and shingles.
+
+Estimates and truncation depend on the order in which doubles are added, so they run over Arrow batches; the others are
+built-in expressions. ``register`` gives SQL the same functions.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-CHARS_PER_TOKEN, DIGITS_PER_TOKEN, CJK_TOKENS, NEWLINE_TOKENS, SYMBOL_TOKENS = 4.0, 3.0, 1.0, 0.5, 0.6
-#: Unicode white space, spelt out: \\s means less in Java, and \\v more.
-SPACE = r"\u0009-\u000D\u001C-\u0020\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-_CJK = r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uAC00-\uD7AF"
+from . import reading
+from .words import CJK, SPACE
+
 # an apostrophe inside a word counts as a letter; writing it as one leaves a pattern without a repeated group
 _INNER_APOSTROPHE = "(?<=[A-Za-z])['\u2019](?=[A-Za-z])"
-_RUNS = rf"\n+|[A-Za-z]+|[0-9]+|[{_CJK}]+|[^ \t\r\f\x0B]"
+_RUNS = rf"\n+|[A-Za-z]+|[0-9]+|[{CJK}]+|[^ \t\r\f\x0B]"
 
 
 def _col(c: Column | str) -> Column:
@@ -23,51 +29,35 @@ def runs(text: Column | str) -> Column:
     return F.regexp_extract_all(F.regexp_replace(_col(text), _INNER_APOSTROPHE, "x"), F.lit(_RUNS), F.lit(0))
 
 
-def run_cost(run: Column) -> Column:
-    n, first = F.length(run).cast("double"), F.ascii(run)
-    cjk = first.between(0x3040, 0x30FF) | first.between(0x3400, 0x4DBF) | first.between(0x4E00, 0x9FFF) | first.between(0xAC00, 0xD7AF)
-    return (
-        F.when(first.between(97, 122) | first.between(65, 90), F.greatest(F.lit(1.0), n / CHARS_PER_TOKEN))
-        .when(first == 10, n * NEWLINE_TOKENS)
-        .when(first.between(48, 57), F.greatest(F.lit(1.0), n / DIGITS_PER_TOKEN))
-        .when(cjk, n * CJK_TOKENS)
-        .otherwise(F.lit(SYMBOL_TOKENS))
-    )
+def _estimated(text: pa.Array) -> pa.Array:
+    return pa.array([reading.tokens(t) if t else 0 for t in text.to_pylist()], pa.int32())
+
+
+def _truncated(text: pa.Array, budget: pa.Array, suffix: pa.Array) -> pa.Array:
+    rows = zip(*(c.to_pylist() for c in (text, budget, suffix)))
+    return pa.array([None if t is None or n is None else reading.truncate(t, n, s or "") for t, n, s in rows], pa.string())
+
+
+def _arrow(f: Callable[..., pa.Array], kind: str):
+    return F.arrow_udf(f, kind)
 
 
 def estimate_tokens(text: Column | str) -> Column:
     """Estimated tokens of a text: its runs' costs, added from left to right in doubles, rounded up. Null: 0."""
-    total = F.aggregate(runs(F.coalesce(_col(text), F.lit(""))), F.lit(0.0), lambda a, r: a + run_cost(r))
-    return F.ceil(total).cast("int")
+    return _arrow(_estimated, "int")(_col(text))
 
 
 def fits_budget(text: Column | str, budget: int | Column) -> Column:
     return estimate_tokens(text) <= budget
 
 
-def right_trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"[{SPACE}]++\z", "")
-
-
 def truncate_to_tokens(text: Column | str, budget: int | Column, suffix: str = "") -> Column:
     """The text if it fits, else a prefix found by halving, trimmed, and the suffix; nothing if there is no room.
 
-    Costs aren't monotone in the prefix, so the halving itself is what is defined: 32 steps do for any length.
+    Costs aren't monotone in the prefix, so the halving itself is what is defined.
     """
-    text, budget = _col(text), F.lit(budget) if isinstance(budget, int) else budget
-    room = budget - estimate_tokens(F.lit(suffix))
-    start = F.struct(F.lit(0).alias("low"), F.length(text).alias("high"))
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
-        fits = estimate_tokens(F.substring(text, F.lit(1), mid)) <= room
-        took = F.struct(mid.alias("low"), s["high"].alias("high"))
-        left = F.struct(s["low"].alias("low"), (mid - 1).alias("high"))
-        return F.when(s["low"] >= s["high"], s).when(fits, took).otherwise(left)
-
-    cut = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, halve, lambda s: s["low"])
-    short = F.concat(right_trim(F.substring(text, F.lit(1), cut)), F.lit(suffix))
-    return F.when(budget <= 0, "").when(estimate_tokens(text) <= budget, text).when(room <= 0, "").otherwise(short)
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    return _arrow(_truncated, "string")(_col(text), budget.cast("long"), F.lit(suffix))
 
 
 def words(text: Column | str) -> Column:
@@ -95,13 +85,18 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the token functions callable from SQL, as temporary SQL functions over built-in expressions."""
-    s = "'"
-    runs_sql = rf"regexp_extract_all(regexp_replace(coalesce(t, ''), r\"(?<=[A-Za-z])['’](?=[A-Za-z])\", 'x'), r{s}{_RUNS}{s}, 0)".replace("\\\"", '"')
-    cost = (
-        "case when ascii(r) between 97 and 122 or ascii(r) between 65 and 90 then greatest(1D, length(r) / 4D) when ascii(r) = 10 then length(r) * 0.5D "
-        "when ascii(r) between 48 and 57 then greatest(1D, length(r) / 3D) when ascii(r) between 12352 and 12543 or ascii(r) between 13312 and 19903 "
-        "or ascii(r) between 19968 and 40959 or ascii(r) between 44032 and 55215 then length(r) * 1D else 0.6D end"
-    )
-    spark.sql(f"create or replace temporary function estimate_tokens(t string) returns int return cast(ceil(aggregate({runs_sql}, 0D, (a, r) -> a + {cost})) as int)")
+    """Makes the functions callable from SQL: estimate_tokens(text), fits_budget(text, budget), text_words(text),
+    text_shingles(text, size), jaccard(a, b) and truncate_to_tokens(text, budget, suffix)."""
+
+    def some_shingles(text: pa.Array, size: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else reading.shingles(t, n) for t, n in zip(text.to_pylist(), size.to_pylist())], pa.list_(pa.string()))
+
+    def some_words(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else reading.words(t) for t in text.to_pylist()], pa.list_(pa.string()))
+
+    for name, f, kind in (("estimate_tokens", _estimated, "int"), ("truncate_to_tokens", _truncated, "string"), ("text_words", some_words, "array<string>"), ("text_shingles", some_shingles, "array<string>")):
+        spark.udf.register(name, _arrow(f, kind))
     spark.sql("create or replace temporary function fits_budget(t string, budget int) returns boolean return estimate_tokens(t) <= budget")
+    shared = "size(array_intersect(a, b))"
+    likeness = f"case when size(a) = 0 and size(b) = 0 then 1D when size(a) = 0 or size(b) = 0 then 0D else {shared} / (size(a) + size(b) - {shared}) end"
+    spark.sql(f"create or replace temporary function jaccard(a array<string>, b array<string>) returns double return {likeness}")

@@ -27,7 +27,7 @@ from .common import Stage, arrow_map, ids_and_texts, packed, slices, unpacked
 
 LIMIT = 1024
 #: Bytes of text in a slice, at most, but for longer single texts; units that a task remembers; sums that a task holds.
-SLICE_TEXT, CACHE_UNITS, HELD_SUMS = 1 << 25, 600_000, 1 << 22
+SLICE_TEXT, CACHE_UNITS, HELD_SUMS = 3 << 22, 250_000, 1 << 21
 #: Bits of a document's place in its slice.
 _PLACE = 24
 #: How the tokenizer splits texts before its merges.
@@ -151,7 +151,9 @@ def _frequencies(path: str, seed: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 size.append(len(t.encode()))
             n, docs = next(chunk), b.num_rows
             owner = np.repeat(np.arange(docs), sizes)
-            key, times = np.unique((np.array(found, np.int64) << _PLACE) | owner, return_counts=True)
+            key = np.array(found, np.int64)
+            del found
+            key, times = np.unique((key << _PLACE) | owner, return_counts=True)
             of, ends = np.array(units.of, np.int64), np.array(units.ends, np.int64)
             unit, owner = key >> _PLACE, key & (1 << _PLACE) - 1
             per = ends[unit + 1] - ends[unit]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import reading
 from ..functions.text import shingles
+from .batches import by_document
 
 
 def similar_pairs(segments: DataFrame, threshold: float = 0.8, shingle_size: int = 5, key: str = "doc_id") -> DataFrame:
@@ -37,29 +39,27 @@ def _pairs(sets: DataFrame, threshold: float, key: str) -> DataFrame:
 def near_duplicates(segments: DataFrame, threshold: float = 0.8, shingle_size: int = 5, key: str = "doc_id") -> DataFrame:
     """(key, index) of the segments to drop: those like an earlier segment of their kind that itself was not dropped.
 
-    This isn't transitive: a segment like a dropped one only stays. Segments with equal shingle sets after the first
-    are always dropped, so only first ones are compared.
+    This isn't transitive: a segment like a dropped one only stays.
     """
     if shingle_size < 1:
         raise ValueError("shingle_size must be at least 1")
-    if threshold != threshold or threshold > 1:
-        return segments.select(key, "index").limit(0)
-    first = W.partitionBy(key, "kind").orderBy("index")
-    if threshold <= 0:
-        return segments.select(key, "index", F.row_number().over(first).alias("r")).where("r > 1").select(key, "index")
-    sets = _sets(segments, shingle_size, key).withColumn("r", F.row_number().over(W.partitionBy(key, "kind", "s").orderBy("index")))
-    repeats = sets.where("r > 1").select(key, "index")
-    edges = _pairs(sets.where("r = 1"), threshold, key)
-    earlier = edges.groupBy(key, F.col("j")).agg(F.collect_list("i").alias("near"))
-    ordered = earlier.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("j", "near"))).alias("nodes"))
 
-    def greedy(gone: Column, node: Column) -> Column:
-        return F.when(F.exists(node["near"], lambda i: ~F.array_contains(gone, i)), F.array_append(gone, node["j"])).otherwise(gone)
+    def found(t: pa.Table) -> pa.Table:
+        t = t.sort_by("index")
+        gone = reading.repeats([*zip(t.column("kind").to_pylist(), t.column("text").to_pylist())], threshold, shingle_size)
+        return t.select([key, "index"]).take(pa.array(sorted(gone), pa.int64()))
 
-    dropped = ordered.select(key, F.explode(F.aggregate("nodes", F.array().cast("array<int>"), greedy)).alias("index"))
-    return repeats.unionByName(dropped)
+    return by_document(segments.select(key, "index", "kind", "text"), key, found, (key, "index"))
 
 
 def dedupe_segments(segments: DataFrame, threshold: float = 0.8, shingle_size: int = 5, key: str = "doc_id") -> DataFrame:
     """The segments that stay, as they are."""
-    return segments.join(near_duplicates(segments, threshold, shingle_size, key), [key, "index"], "left_anti").select(*segments.columns)
+    if shingle_size < 1:
+        raise ValueError("shingle_size must be at least 1")
+
+    def kept(t: pa.Table) -> pa.Table:
+        t = t.sort_by("index")
+        gone = reading.repeats([*zip(t.column("kind").to_pylist(), t.column("text").to_pylist())], threshold, shingle_size)
+        return t.take(pa.array([k for k in range(t.num_rows) if k not in gone], pa.int64()))
+
+    return by_document(segments, key, kept, segments.columns)

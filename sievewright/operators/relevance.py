@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-STOPWORDS = tuple(
-    sorted(
-        set(
-            "is are was were be been being will would can could should may might do does did has have had "  # verbs
-            "i me my he him his she her we us our you your they them their it its this that these those there here "  # pronouns
-            "a an the and or but if then else than so not no as at by for from in into of on to with "  # particles
-            "who what when how which".split()
-        )
-        - {"me", "us", "my", "him"}
-    )
-)
+from ..functions import reading
+from ..functions.words import STOPWORDS
+from .batches import by_document
+
 _WORD = r"\p{Alpha}[\p{Alpha}']*"
-#: Scores are rounded before they order anything, so that the order doesn't hang on the last bit of a logarithm.
-DIGITS = 9
 
 
 def score_words(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, index, word): every word that counts, as often as it occurs."""
     found = F.filter(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), lambda w: F.length(w) > 2)
-    return segments.select(key, "index", F.explode(found).alias("w")).select(key, "index", F.lower("w").alias("word")).where(~F.col("word").isin(*STOPWORDS))
+    return segments.select(key, "index", F.explode(found).alias("w")).select(key, "index", F.lower("w").alias("word")).where(~F.col("word").isin(*sorted(STOPWORDS)))
 
 
 def term_frequency(segments: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -38,11 +30,11 @@ def document_frequency(segments: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def score_segments(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, index, score): the mean idf of a segment's words among its document's segments; no words: 0."""
-    tf = term_frequency(segments, key).withColumn("df", F.count(F.lit(1)).over(W.partitionBy(key, "word")))
-    n = segments.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    mean = tf.join(n, key).groupBy(key, "index").agg((F.sum(F.col("tf") * idf) / F.sum("tf")).alias("mean"))
-    return segments.select(key, "index").join(mean, [key, "index"], "left").select(key, "index", F.round(F.coalesce("mean", F.lit(0.0)), DIGITS).alias("score"))
+
+    def scored(t: pa.Table) -> pa.Table:
+        return t.select([key, "index"]).append_column("score", pa.array(reading.scores(t.column("text").to_pylist()), pa.float64()))
+
+    return by_document(segments.select(key, "index", "text"), key, scored, (key, "index"), "score double")
 
 
 def greedy_keep(items: Column, budget: Column) -> Column:
@@ -58,9 +50,18 @@ def greedy_keep(items: Column, budget: Column) -> Column:
 
 def select_by_score(segments: DataFrame, budget: int, scores: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """The segments kept under the budget, best score first and earlier first among equals; (key, index, score) rows
-    can be given in place of TF-IDF scores."""
-    scored = segments.select(key, "index", "tokens").join(score_segments(segments, key) if scores is None else scores, [key, "index"])
-    items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), F.col("index").alias("place"), F.col("tokens").cast("long").alias("cost"))))
+    can be given in place of TF-IDF scores, where a segment without one scores 0."""
+    if scores is None:
+
+        def chosen(t: pa.Table) -> pa.Table:
+            t = t.sort_by("index")
+            rows = [reading.Segment(i, "", 0, 0, n, x) for i, n, x in zip(*(t.column(c).to_pylist() for c in ("index", "tokens", "text")))]
+            return t.take(pa.array(reading.best(rows, budget), pa.int64()))
+
+        return by_document(segments, key, chosen, segments.columns)
+    scored = segments.select(key, "index", "tokens").join(scores.select(key, "index", "score"), [key, "index"], "left")
+    order = -F.coalesce("score", F.lit(0.0))
+    items = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.col("index").alias("place"), F.col("tokens").cast("long").alias("cost"))))
     kept = scored.groupBy(key).agg(items.alias("items")).select(key, F.explode(greedy_keep(F.col("items"), F.lit(budget))).alias("index"))
     return segments.join(kept, [key, "index"], "left_semi").select(*segments.columns)
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, estimate_tokens
+from ..functions import reading
+from ..functions.text import estimate_tokens
+from ..functions.words import SPACE
 
 SEPARATOR = "\n\n"
 #: A segment: its place in the document, kind, 1-based first and last line, estimated tokens and text.
-SEGMENT = ("index", "kind", "start_line", "end_line", "tokens", "text")
+SEGMENT = reading.Segment._fields
+_KINDS = dict(zip(SEGMENT, (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())))
+_LISTED = "array<struct<index:int,kind:string,start_line:int,end_line:int,tokens:int,text:string>>"
 
 
 def fence_marker(line: Column) -> Column:
@@ -28,60 +33,23 @@ def is_code(kind: Column | str = "kind") -> Column:
     return (F.col(kind) if isinstance(kind, str) else kind) == "code"
 
 
+def _listed(text: pa.Array) -> pa.Array:
+    found = [reading.segments(t) if t else [] for t in text.to_pylist()]
+    columns = zip(*chain.from_iterable(found)) if any(found) else [[]] * len(_KINDS)
+    rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values())], list(_KINDS))
+    ends = [0]
+    for f in found:
+        ends.append(ends[-1] + len(f))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+
+
 def with_segments(docs: DataFrame, text: str = "text", out: str = "segments") -> DataFrame:
     """Adds array<struct> of a document's segments; null and blank texts have none.
 
-    Only fence lines pass through an ordered fold (a block ends at the next line with its own marker, or at the end);
-    paragraphs are the maximal runs of other non-blank lines outside the blocks.
+    A fenced block ends at the next line with its own marker, or at the end; paragraphs are the maximal runs of other
+    non-blank lines outside the blocks.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    return docs.withColumn(out, _let(lines, _of_lines))
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: a column of its own could be inlined into a lambda, once an element."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _blocks(lines: Column) -> Column:
-    """array<struct<a, b>>: first and last lines (from 0) of the fenced blocks."""
-    fences = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), fence_marker(x).alias("m"))), lambda f: f["m"] != "")
-    start = F.struct(F.lit("").alias("m"), F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("done"))
-
-    def fold(s: Column, f: Column) -> Column:
-        opened = F.struct(f["m"].alias("m"), f["at"].alias("at"), s["done"].alias("done"))
-        block = F.struct(s["at"].alias("a"), f["at"].alias("b"))
-        closed = F.struct(F.lit("").alias("m"), F.lit(0).alias("at"), F.concat(s["done"], F.array(block)).alias("done"))
-        return F.when(s["m"] == "", opened).when(s["m"] == f["m"], closed).otherwise(s)
-
-    def rest(s: Column) -> Column:
-        open_block = F.struct(s["at"].alias("a"), (F.size(lines) - 1).alias("b"))
-        return F.when(s["m"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(open_block)))
-
-    return F.aggregate(fences, start, fold, rest)
-
-
-def _of_lines(lines: Column) -> Column:
-    return _let(_blocks(lines), lambda blocks: _of_blocks(lines, blocks))
-
-
-def _of_blocks(lines: Column, blocks: Column) -> Column:
-    prose = F.transform(lines, lambda x, i: x.rlike(rf"[^{SPACE}]") & ~F.exists(blocks, lambda b: i.between(b["a"], b["b"])))
-    return _let(prose, lambda p: _of_prose(lines, blocks, p))
-
-
-def _of_prose(lines: Column, blocks: Column, prose: Column) -> Column:
-    places, at = F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.coalesce(F.get(prose, i), F.lit(False))
-    starts = F.filter(places, lambda i: at(i) & ~at(i - 1))
-    ends = F.filter(places, lambda i: at(i) & ~at(i + 1))
-    span = lambda a, b, kind: F.struct(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"))
-    spans = F.concat(F.zip_with(starts, ends, lambda a, b: span(a, b, "text")), F.transform(blocks, lambda b: span(b["a"], b["b"], "code")))
-
-    def made(s: Column, i: Column) -> Column:
-        body = F.regexp_replace(F.array_join(F.slice(lines, s["a"] + 1, s["b"] - s["a"] + 1), "\n"), r"^\n+|\n+\z", "")
-        return _let(body, lambda x: segment(x, i, s["kind"], s["a"] + 1, s["b"] + 1))
-
-    return F.transform(F.array_sort(spans), made)
+    return docs.withColumn(out, F.arrow_udf(_listed, _LISTED)(F.col(text)))
 
 
 def split_segments(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

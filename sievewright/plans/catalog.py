@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.words import STOPWORDS
 from ..operators import neardup, relevance, segments
 from . import transcript
 from .squeeze import squeeze
@@ -212,7 +213,7 @@ drops as (select doc_id, unnest(f.gone) as index from folded)"""
 
 
 def _tf(source: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in relevance.STOPWORDS)
+    stop = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
     return f"""tokens_of as (select doc_id, index, unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z'']*')) as w from {source}),
 tf as (select doc_id, index, lower(w) as word, count(*) as tf from tokens_of where length(w) > 2 and lower(w) not in ({stop}) group by all),
 df as (select doc_id, word, count(*) as df from tf group by all),
