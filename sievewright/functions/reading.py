@@ -14,13 +14,15 @@ from itertools import accumulate, groupby
 from math import ceil, log
 from typing import NamedTuple
 
+import numpy as np
+
 from .words import CHARS_PER_TOKEN, CJK_TOKENS, DIGITS_PER_TOKEN, NEWLINE_TOKENS, SCORE_DIGITS, SPACE, STOPWORDS, SYMBOL_TOKENS, CJK
 
 _RUN = re.compile(rf"(?P<word>[A-Za-z]+(?:['’][A-Za-z]+)*)|(?P<number>[0-9]+)|(?P<newlines>\n+)|(?P<cjk>[{CJK}]+)|[^ \t\r\f\x0b]")
 _RATE = {"word": 1 / CHARS_PER_TOKEN, "newlines": NEWLINE_TOKENS, "cjk": CJK_TOKENS}
 _GAPS, _BLANKS = re.compile(f"[^{SPACE}]+"), re.compile(f"[{SPACE}]+\\Z")
 _FENCE = re.compile(f"[{SPACE}]*(```|~~~)")
-_SCORED = re.compile(r"[A-Za-z][A-Za-z']*")
+_SCORED = re.compile(r"[A-Za-z][A-Za-z']{2,}")
 
 
 def _cost(run: re.Match) -> float:
@@ -32,20 +34,59 @@ def _cost(run: re.Match) -> float:
     return max(1.0, n * _RATE[kind]) if kind == "word" else n * _RATE[kind]
 
 
+#: Classes of code points: 0 costs nothing, 5 is a run by itself; the others are named by _RUN's groups.
+_WORD, _NUMBER, _NEWLINES, _CJK, _SYMBOL = 1, 2, 3, 4, 5
+_CLASS = np.full(1 << 16, _SYMBOL, np.uint8)
+_CLASS[[ord(c) for c in " \t\r\f\x0b"]] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = _WORD
+_CLASS[48:58], _CLASS[10] = _NUMBER, _NEWLINES
+for _low, _high in re.findall("(.)-(.)", CJK):
+    _CLASS[ord(_low) : ord(_high) + 1] = _CJK
+
+
+def run_costs(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where runs start, from the first text on, what they cost, and the index of each text's first run (n + 1)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    if not len(points):
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(len(texts) + 1, np.int64)
+    kind = np.where(points < 1 << 16, _CLASS[points & 0xFFFF], _SYMBOL).astype(np.uint8)
+    first = np.zeros(len(points) + 1, bool)
+    first[bounds] = True
+    inner = np.flatnonzero((points == 0x27) | (points == 0x2019))
+    inner = inner[(inner > 0) & (inner < len(points) - 1)]
+    inner = inner[~first[inner] & ~first[inner + 1]]
+    kind[inner[(kind[inner - 1] == _WORD) & (kind[inner + 1] == _WORD)]] = _WORD
+    change = first[:-1] | (kind == _SYMBOL)
+    change[1:] |= kind[1:] != kind[:-1]
+    starts = np.flatnonzero(change)
+    n, kind = np.diff(np.append(starts, len(points))), kind[starts]
+    starts, n, kind = (x[kind > 0] for x in (starts, n, kind))
+    cost = np.select(
+        [kind == _WORD, kind == _NUMBER, kind == _NEWLINES, kind == _CJK],
+        [np.maximum(1.0, n / CHARS_PER_TOKEN), np.maximum(1.0, n / DIGITS_PER_TOKEN), n * NEWLINE_TOKENS, n * CJK_TOKENS],
+        SYMBOL_TOKENS,
+    )
+    return starts, cost, np.searchsorted(starts, bounds)
+
+
+def tokens_of(texts: Sequence[str]) -> list[int]:
+    """Estimated tokens of each text; the sums run from left to right, as accumulate does."""
+    _, cost, first = run_costs(texts)
+    at = first.tolist()
+    return [ceil(np.add.accumulate(cost[s:e])[-1]) if e > s else 0 for s, e in zip(at, at[1:])]
+
+
 def tokens(text: str) -> int:
-    total = 0.0
-    for c in map(_cost, _RUN.finditer(text)):
-        total += c
-    return ceil(total)
+    return tokens_of([text])[0]
 
 
 class _Prefixes:
     """Estimated tokens of all prefixes of a text."""
 
     def __init__(self, text: str):
-        self.text, found = text, list(_RUN.finditer(text))
-        self.starts = [r.start() for r in found]
-        self.sums = [0.0, *accumulate(map(_cost, found))]
+        starts, cost, _ = run_costs([text])
+        self.text, self.starts, self.sums = text, starts.tolist(), [0.0, *np.add.accumulate(cost).tolist()]
 
     def tokens(self, end: int) -> int:
         """The runs that start before the last one in reach are whole; that one is read again up to the end."""
@@ -85,7 +126,7 @@ class Segment(NamedTuple):
     text: str
 
 
-def segments(text: str) -> list[Segment]:
+def _bodies(text: str) -> list[tuple[str, int, int, str]]:
     lines, labels, fence, block = text.split("\n"), [], "", 0
     for line in lines:
         mark = m[1] if (m := _FENCE.match(line)) else ""
@@ -94,16 +135,25 @@ def segments(text: str) -> list[Segment]:
             labels.append(("code", block))
             fence = mark if not fence else "" if mark == fence else fence
         else:
-            labels.append(("text", block) if _GAPS.search(line) else None)
-    out: list[Segment] = []
+            labels.append(("text", block) if line and _GAPS.search(line) else None)
+    out = []
     for label, places in groupby(range(len(lines)), labels.__getitem__):
         if label is not None:
             at = list(places)
-            body = "\n".join(lines[at[0] : at[-1] + 1]).strip("\n")
-            out.append(Segment(len(out), label[0], at[0] + 1, at[-1] + 1, tokens(body), body))
+            out.append((label[0], at[0] + 1, at[-1] + 1, "\n".join(lines[at[0] : at[-1] + 1]).strip("\n")))
     return out
 
 
+def segments_of(texts: Sequence[str]) -> list[list[Segment]]:
+    found = list(map(_bodies, texts))
+    costs = iter(tokens_of([b[3] for bodies in found for b in bodies]))
+    return [[Segment(k, kind, start, end, next(costs), body) for k, (kind, start, end, body) in enumerate(bodies)] for bodies in found]
+
+
+def segments(text: str) -> list[Segment]:
+    return segments_of([text])[0]
+
+
 def words(text: str) -> list[str]:
     return _GAPS.findall(text.lower())
 
@@ -145,8 +195,10 @@ def repeats(kinds_and_texts: Sequence[tuple[str, str]], threshold: float, size:
 
 def scores(texts: Sequence[str]) -> list[float]:
     """The mean idf of each segment's words among the segments given; no words: 0."""
-    counts = [Counter(w for w in map(str.lower, _SCORED.findall(t)) if len(w) > 2 and w not in STOPWORDS) for t in texts]
-    found = Counter(w for c in counts for w in c)
+    counts = [Counter(w for w in map(str.lower, _SCORED.findall(t)) if w not in STOPWORDS) for t in texts]
+    found = Counter()
+    for c in counts:
+        found.update(c.keys())
     idf = {w: log((len(texts) + 1) / (n + 1)) + 1 for w, n in found.items()}
     return [round(sum(n * idf[w] for w, n in c.items()) / c.total(), SCORE_DIGITS) if c else 0.0 for c in counts]
 

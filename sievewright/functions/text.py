@@ -30,7 +30,7 @@ def runs(text: Column | str) -> Column:
 
 
 def _estimated(text: pa.Array) -> pa.Array:
-    return pa.array([reading.tokens(t) if t else 0 for t in text.to_pylist()], pa.int32())
+    return pa.array(reading.tokens_of([t or "" for t in text.to_pylist()]), pa.int32())
 
 
 def _truncated(text: pa.Array, budget: pa.Array, suffix: pa.Array) -> pa.Array:

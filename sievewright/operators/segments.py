@@ -34,7 +34,7 @@ def is_code(kind: Column | str = "kind") -> Column:
 
 
 def _listed(text: pa.Array) -> pa.Array:
-    found = [reading.segments(t) if t else [] for t in text.to_pylist()]
+    found = reading.segments_of([t or "" for t in text.to_pylist()])
     columns = zip(*chain.from_iterable(found)) if any(found) else [[]] * len(_KINDS)
     rows = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values())], list(_KINDS))
     ends = [0]

@@ -100,9 +100,9 @@ def _places(name: str, left: list[reading.Segment], budget: int, head_ratio: flo
     return reading.best(left, budget) if name == "score" else reading.ends([s.tokens for s in left], budget, head_ratio)
 
 
-def _one(text: str, names: list[str], marker: bool, options: dict) -> tuple:
-    segments = left = reading.segments(text)
-    notes, budget = [], options["budget"]
+def _shortened(segments: list[reading.Segment], names: list[str], marker: bool, options: dict) -> tuple[str, int, list[str]]:
+    """What the strategies make of a document: the text, the number of segments left, and the notes."""
+    left, notes = segments, []
     for name in names:
         stay = [left[k] for k in _places(name, left, **options)]
         if len(stay) < len(left) and _NOTES[name]:
@@ -115,21 +115,23 @@ def _one(text: str, names: list[str], marker: bool, options: dict) -> tuple:
         if body is not None:
             parts.append(body)
         before = index
-    whole = SEPARATOR.join(parts)
-    final = reading.tokens(whole)
-    if final > budget:
-        whole = reading.truncate(whole, budget)
-        final = reading.tokens(whole)
-        notes.append(_CUT_NOTE)
-    return whole, reading.tokens(text), final, len(segments), len(left), notes
+    return SEPARATOR.join(parts), len(left), notes
 
 
 def _squeezed(names: list[str], marker: bool, key: str, options: dict) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    kinds = [pa.string(), *[pa.int32()] * 4, pa.list_(pa.string())]
+    budget, kinds = options["budget"], [pa.string(), *[pa.int32()] * 4, pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_one(t, names, marker, options) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            segments = reading.segments_of(texts)
+            made = [_shortened(s, names, marker, options) for s in segments]
+            rows = []
+            for (whole, left, notes), given, n, final in zip(made, reading.tokens_of(texts), map(len, segments), reading.tokens_of([m[0] for m in made])):
+                if final > budget:
+                    whole, notes = reading.truncate(whole, budget), [*notes, _CUT_NOTE]
+                    final = reading.tokens(whole)
+                rows.append((whole, given, final, n, left, notes))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([b.column(key), *columns], [key, "text", "original_tokens", "final_tokens", "segments_in", "segments_out", "notes"])
 
