@@ -10,6 +10,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Stage:
     """A scratch folder in the shared directory. ``keep`` writes a table and reads it back, which cuts lineage."""
 
@@ -82,13 +93,8 @@ class Stage:
         return p
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        conf = self.spark.conf
-        before = conf.get(_CLEANUP)
-        conf.set(_CLEANUP, "true")  # the written table replaces the plan's shuffle files: Spark drops them with the query
-        try:
+        with setting(self.spark, _CLEANUP, "true"):  # the table replaces the plan's shuffle files: Spark drops them with the query
             df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
-        finally:
-            conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

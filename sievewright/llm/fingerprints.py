@@ -1,35 +1,46 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame and SQL functions only.
 
-A text is cut into pieces, its lines and their sentences (words, if the text is short), and the 64-bit digests of the
-distinct pieces go into a sketch of three subtables: each digest into one cell of each, and a cell holds a count, the
-xor of its digests and the xor of their check hashes. Sketches of two texts subtract cell by cell, which cancels
-common digests, and peeling recovers those that differ: a cell whose check fits holds a single digest, which is taken
-out of its other cells, until nothing is left. Digests of long texts are dealt out to several sketches by their
-leading bits, as many as an estimate of the difference asks for; a pair whose peeling gets stuck is done again with
-eight times as many, and if that fails too, with the digest sets themselves. The likeness of two fingerprints is the
-share of common digests in all digests of the two (Jaccard), and is 1 for equal digest sets.
-
-Cells are plain grouped xor aggregates over exploded digests; only the last cells of a difference become arrays.
+A text is cut into pieces by one rule at every size: at line ends, after full stops and the like, and at white space
+after two frequent letters; what is longer than LONGEST is cut every CHUNK characters, so a changed tail leaves the
+digests before it alone. The 64-bit digests of the distinct pieces go into a sketch of three subtables, each digest
+into one cell of each, and a cell holds a count, the xor of its digests and the xor of their check hashes.
+
+The returned fingerprint of a text is such a sketch of fixed size. Those of two texts are subtracted cell by cell, which
+cancels common digests, and peeling recovers those that differ: a cell whose check fits holds a single digest, which is
+taken out of its other cells, until nothing is left. If peeling gets stuck, a larger sketch is tried: digests are dealt
+out to several sketches by their leading bits, as many as an estimate of the difference asks for, and to eight times as
+many again and again until every pair is recovered. The likeness of two fingerprints is the share of common digests in
+all digests of the two (Jaccard), from the two counts and the number of recovered ones; it is 1 for equal digest sets.
+
+Rows are placed in ranges of doc_id by one shuffle of the texts, and all grouping is by range and row, so it stays in
+those partitions. Cells are plain grouped xor aggregates over exploded digests; only the last cells of a difference
+become arrays.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, setting
 
-#: Texts below so many code points are cut at white space, others at ends of sentences and lines.
-SHORT = 256
-#: Bits of a place in a subtable, for fingerprints and for differences; differing digests wanted in one sketch.
+LONGEST, CHUNK = 120, 64
+#: Bits of a place in a subtable, for fingerprints and for larger sketches; differing digests wanted in one sketch.
 PRINT_BITS, PAIR_BITS, LOAD, LEAST, RETRY_LEVELS = 3, 6, 6, 16, 3
+#: Sketches by number: of the text, the edited and the next one; larger ones of both pairs; differences of fingerprints.
+TEXT, EDITED, NEXT, LARGE_EDITED, LARGE_NEXT, LESS_EDITED, LESS_NEXT = range(7)
+#: Lets tables that are both placed by the range meet on range and row without another shuffle.
+_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 
 def pieces_sql(text: str) -> str:
     """array<long>: the distinct digests of a text, sorted."""
-    cut = f"if(length({text}) < {SHORT}, split({text}, '\\\\s+'), split({text}, '[.!?\\\\n]+'))"
-    return f"array_sort(array_distinct(transform(filter({cut}, x -> x != ''), x -> xxhash64(x))))"
+    cut = f"split({text}, '(?<=[.!?;:nt])\\\\s+|\\\\s*\\n\\\\s*')"
+    short = f"flatten(transform({cut}, x -> if(length(x) <= {LONGEST}, array(x), regexp_extract_all(x, '(?s).{{1,{CHUNK}}}', 0))))"
+    return f"array_sort(array_distinct(transform(filter({short}, x -> x != ''), x -> xxhash64(x))))"
 
 
 def _places(d: str, bits: int) -> list[str]:
@@ -48,17 +59,26 @@ def _entries(p: int, digests: str, level: str = "0") -> str:
 
 
 def _cells(rows: DataFrame, entries: list[str]) -> DataFrame:
-    """(r, p, g, cells array<struct<j, c, k, s>>): what each sketch holds; rows must be partitioned by r."""
-    e = rows.select("r", F.expr(f"explode(concat({', '.join(entries)}))").alias("e")).select("r", "e.p", "e.g", "e.d", F.xxhash64("e.d").alias("h"))
-    places = F.when(F.col("p") < 2, F.array(*map(F.expr, _places("d", PRINT_BITS)))).otherwise(F.array(*map(F.expr, _places("d", PAIR_BITS))))
-    cells = e.select("r", "p", "g", "d", "h", F.explode(places).alias("j")).groupBy("r", "p", "g", "j").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("h").alias("s"))
-    return cells.where("p < 2 or k <> 0 or s <> 0").groupBy("r", "p", "g").agg(F.array_sort(F.collect_list(F.struct("j", "c", "k", "s"))).alias("cells"))
-
-
-def peel_sql(cells: str) -> str:
+    """(b, r, p, g, cells array<struct<j, c, k, s>>): what each sketch and each difference holds; rows are placed by b."""
+    e = rows.select("b", "r", F.expr(f"explode(concat({', '.join(entries)}))").alias("e")).select("b", "r", "e.p", "e.g", "e.d", F.xxhash64("e.d").alias("h"))
+    small, large = (F.array(*map(F.expr, _places("d", bits))) for bits in (PRINT_BITS, PAIR_BITS))
+    e = e.select("b", "r", "p", "g", "d", "h", F.explode(F.when(F.col("p") <= NEXT, small).otherwise(large)).alias("j"))
+    cells = e.groupBy("b", "r", "p", "g", "j").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("h").alias("s"))
+    # a fingerprint also goes into its differences; xor adds and subtracts
+    goes = {TEXT: (TEXT, LESS_EDITED, LESS_NEXT), EDITED: (EDITED, LESS_EDITED), NEXT: (NEXT, LESS_NEXT)}
+    to = F.array("p")
+    for p, more in goes.items():
+        to = F.when(F.col("p") == p, F.array(*map(F.lit, more))).otherwise(to)
+    cells = cells.select("b", "r", F.explode(to).alias("p"), "g", "j", "c", "k", "s")
+    cells = cells.groupBy("b", "r", "p", "g", "j").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("s").alias("s"))
+    kept = cells.where((F.col("p") <= NEXT) | (F.col("k") != 0) | (F.col("s") != 0))
+    return kept.groupBy("b", "r", "p", "g").agg(F.array_sort(F.collect_list(F.struct("j", "c", "k", "s"))).alias("cells"))
+
+
+def peel_sql(cells: str, bits: int = PAIR_BITS) -> str:
     """How many digests peeling recovers from the cells of a difference; null if it gets stuck."""
     keys = "array_distinct(transform(filter(st.cells, x -> xxhash64(x.k) = x.s), x -> x.k))"
-    j0, j1, j2 = _places("d", PAIR_BITS)
+    j0, j1, j2 = _places("d", bits)
     pure = f"transform({keys}, d -> named_struct('d', d, 'h', xxhash64(d), 'j0', {j0}, 'j1', {j1}, 'j2', {j2}))"
     less = "aggregate(filter(pure, p -> p.j0 = x.j or p.j1 = x.j or p.j2 = x.j), x, (a, p) -> named_struct('j', a.j, 'k', a.k ^ p.d, 's', a.s ^ p.h))"
     rest = f"filter(transform(st.cells, x -> {less}), x -> x.k != 0L or x.s != 0L)"
@@ -68,17 +88,16 @@ def peel_sql(cells: str) -> str:
 
 
 def _found(cells: DataFrame) -> DataFrame:
-    """For both pairs the number of differing digests, null if a sketch got stuck."""
-    n = F.expr(f"if(p < 2, null, {peel_sql('cells')})")
-    at = cells.select("r", "p", n.alias("n"), F.expr("if(p < 2, base64(unhex(array_join(transform(cells, x -> concat(lpad(hex(x.j), 2, '0'), lpad(hex(x.c), 8, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.s), 16, '0'))), ''))), null)").alias("print"))
-    pair = lambda p: F.when(F.count_if((F.col("p") == p) & F.col("n").isNull()) == 0, F.coalesce(F.sum(F.when(F.col("p") == p, F.col("n"))), F.lit(0)))
-    text = lambda p: F.coalesce(F.max(F.when(F.col("p") == p, F.col("print"))), F.lit(""))
-    return at.groupBy("r").agg(text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"), pair(2).alias("edited_n"), pair(3).alias("next_n"))
-
-
-def _likeness(a: str, b: str, n: str) -> F.Column:
-    n = f"coalesce({n}, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
-    return F.expr(f"if(size({a}) + size({b}) = 0, 1D, cast(size({a}) + size({b}) - {n} as double) / (size({a}) + size({b}) + {n}))")
+    """The fingerprints, the number of digests in each, and of each difference the number recovered, null if stuck."""
+    n = F.expr(f"case when p >= {LESS_EDITED} then {peel_sql('cells', PRINT_BITS)} when p >= {LARGE_EDITED} then {peel_sql('cells')} end")
+    held = F.expr(f"if(p <= {NEXT}, aggregate(filter(cells, x -> x.j < {1 << PRINT_BITS}), 0L, (a, x) -> a + x.c), null)")
+    hexed = "transform(cells, x -> concat(lpad(hex(x.j), 2, '0'), lpad(hex(x.c), 8, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.s), 16, '0')))"
+    sketch = F.expr(f"if(p <= {EDITED}, unhex(array_join({hexed}, '')), null)")
+    at = cells.select("b", "r", "p", n.alias("n"), held.alias("held"), sketch.alias("print"))
+    only = lambda p, c: F.when(F.col("p") == p, F.col(c))
+    counts = [F.coalesce(F.max(only(p, "held")), F.lit(0)).alias(f"n{p}") for p in (TEXT, EDITED, NEXT)]
+    recovered = [F.when(F.count_if((F.col("p") == p) & F.col("n").isNull()) == 0, F.coalesce(F.sum(only(p, "n")), F.lit(0))).alias(f"d{p}") for p in range(LARGE_EDITED, LESS_NEXT + 1)]
+    return at.groupBy("b", "r").agg(*[F.max(only(p, "print")).alias(f"print{p}") for p in (TEXT, EDITED)], *counts, *recovered)
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -118,39 +137,53 @@ def _order() -> W:
     return W.partitionBy("b").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
 
 
+def _likeness(a: str, b: str, d: str) -> F.Column:
+    return F.expr(f"if({a} + {b} = 0, 1D, cast({a} + {b} - {d} as double) / ({a} + {b} + {d}))")
+
+
 def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     edited: the last third of the code points replaced by as many from the start of the next text, or all of it.
     Null texts count as empty; two texts without pieces have likeness 1. Rows that share a doc_id follow one another in
-    the order of their texts. A single row is its own successor.
+    the order of their texts, null doc_ids come last. A single row is its own successor. An empty table gives an empty
+    result. Columns other than doc_id and text are ignored. Equal texts have equal fingerprints.
     """
     stage = Stage(spark, "fingerprints")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    near = with_next(rows, parts).withColumn("a", F.expr(pieces_sql("text")))
-    near = near.withColumn("x", F.lead("a").over(_order())).where("guest = 0")
+    near = with_next(rows, parts).withColumn("r", F.row_number().over(_order()))
     third = "cast(floor(length(text) / 3) as int)"
     edited = F.concat(F.expr(f"left(text, length(text) - {third})"), F.expr(f"left(next, {third})"))
-    out = near.select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), "a", "x").withColumn("e", F.expr(pieces_sql("edited")))
-    kept = out.select(F.monotonically_increasing_id().alias("r"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "e", "x")
-    base = stage.keep(kept, "digests")
-    sides = base.select("r", "a", "e", "x").repartition(parts, "r").withColumn("le", F.expr(level_sql("a", "e"))).withColumn("lx", F.expr(level_sql("a", "x")))
-    prints, pairs = [_entries(0, "a"), _entries(1, "e")], [_entries(2, "a", "le"), _entries(2, "e", "le"), _entries(3, "a", "lx"), _entries(3, "x", "lx")]
-    first = stage.keep(_found(_cells(sides, prints + pairs)), "first")
-    stuck = first.where("edited_n is null or next_n is null").select("r")
-    larger = [c.alias(n) for c, n in ((F.col("le") + RETRY_LEVELS, "le"), (F.col("lx") + RETRY_LEVELS, "lx"))]
-    again = _found(_cells(sides.join(stuck, "r", "left_semi").select("r", "a", "e", "x", *larger), pairs)).select("r", F.col("edited_n").alias("e2"), F.col("next_n").alias("x2"))
-    again = stage.keep(again, "again")
-    done = base.join(first, "r", "left").join(again, "r", "left")
-    # a document without pieces has no cells, and so no row of its own
-    nothing = lambda a, b: f"if({a} = {b}, 0, null)"
-    return done.select(
+    own = near.where("guest = 0")
+    heads = stage.keep(own.select("b", "r", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256")), "heads")
+
+    def sides(texts: DataFrame, next_pieces: F.Column, more: int) -> DataFrame:
+        all_three = texts.select("b", "r", F.expr(pieces_sql("text")).alias("a"), edited.alias("edited"), next_pieces.alias("x")).withColumn("e", F.expr(pieces_sql("edited"))).drop("edited")
+        return all_three.withColumn("le", F.expr(f"{level_sql('a', 'e')} + {more}")).withColumn("lx", F.expr(f"{level_sql('a', 'x')} + {more}"))
+
+    prints = [_entries(TEXT, "a"), _entries(EDITED, "e"), _entries(NEXT, "x")]
+    pairs = [_entries(LARGE_EDITED, "a", "le"), _entries(LARGE_EDITED, "e", "le"), _entries(LARGE_NEXT, "a", "lx"), _entries(LARGE_NEXT, "x", "lx")]
+    found = stage.keep(_found(_cells(sides(own, F.expr(pieces_sql("next")), 0), prints + pairs)), "found")
+    done = [f"coalesce(d{less}, d{large})" for less, large in ((LESS_EDITED, LARGE_EDITED), (LESS_NEXT, LARGE_NEXT))]
+    done = found.select("b", "r", *[F.col(f"n{p}") for p in (TEXT, EDITED, NEXT)], *[F.col(f"print{p}") for p in (TEXT, EDITED)], *map(F.expr, (f"{d} as d{k}" for k, d in enumerate(done))))
+    for k in count(1):
+        stuck = done.where("d0 is null or d1 is null").select("b", "r")
+        if stuck.isEmpty():
+            break
+        with setting(spark, _CO_PARTITION, "false"):
+            again = own.join(stuck.repartition(parts, "b").hint("merge"), ["b", "r"], "left_semi")
+            larger = _found(_cells(sides(again, F.expr(pieces_sql("next")), min(60, RETRY_LEVELS * k)), pairs))
+            larger = stage.keep(larger.select("b", "r", F.col(f"d{LARGE_EDITED}").alias("x0"), F.col(f"d{LARGE_NEXT}").alias("x1")), f"again{k}")
+        done = done.join(larger, ["b", "r"], "left").withColumn("d0", F.coalesce("d0", "x0")).withColumn("d1", F.coalesce("d1", "x1")).drop("x0", "x1")
+    out = heads.join(done, ["b", "r"], "left").fillna(0, ["d0", "d1", *(f"n{p}" for p in (TEXT, EDITED, NEXT))])
+    text = lambda p: F.concat_ws("-", F.hex(f"n{p}"), F.coalesce(F.base64(f"print{p}"), F.lit("")))
+    return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.concat_ws("-", F.hex(F.size("a")), F.coalesce("fingerprint", F.lit(""))).alias("fingerprint"),
-        F.concat_ws("-", F.hex(F.size("e")), F.coalesce("edited_fingerprint", F.lit(""))).alias("edited_fingerprint"),
-        _likeness("a", "e", f"edited_n, e2, {nothing('a', 'e')}").alias("near_edited"),
-        _likeness("a", "x", f"next_n, x2, {nothing('a', 'x')}").alias("near_next"),
+        text(TEXT).alias("fingerprint"),
+        text(EDITED).alias("edited_fingerprint"),
+        _likeness(f"n{TEXT}", f"n{EDITED}", "d0").alias("near_edited"),
+        _likeness(f"n{TEXT}", f"n{NEXT}", "d1").alias("near_next"),
     )

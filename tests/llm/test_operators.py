@@ -282,7 +282,8 @@ def test_fingerprints(spark, docs, empty):
     import re
 
     def pieces(x):
-        return {p for p in (re.split(r"[ \t\n\x0b\f\r]+", x) if len(x) < 256 else re.split(r"[.!?\n]+", x)) if p}
+        parts = re.split(r"(?<=[.!?;:nt])[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", x)
+        return {c for p in parts if p for c in ([p] if len(p) <= 120 else [p[i : i + 64] for i in range(0, len(p), 64)])}
 
     def like(a, b):
         return 1.0 if not a | b else len(a & b) / len(a | b)
