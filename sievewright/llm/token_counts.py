@@ -133,7 +133,14 @@ def _hashes(pieces: list[str], seed: int) -> pa.Array:
     return pa.array(np.array([xxhash.xxh3_64_intdigest(p.encode(), seed) for p in pieces], np.uint64).view(np.int64))
 
 
-_FREQUENCIES = "key long, chunk long, docs int, postings binary, ids array<long>, bytes array<long>"
+#: docs: documents in the slice; 0 marks the row that holds the documents themselves in place of postings.
+_FREQUENCIES = "key long, chunk long, docs int, postings binary"
+
+
+def _told(ids: list[int | None], size: list[int]) -> bytes:
+    """Ids, whether they are there, and sizes of documents."""
+    known = np.array([i is not None for i in ids], "<i8")
+    return np.concatenate([np.array([i or 0 for i in ids], "<i8"), known, np.array(size, "<i8")]).tobytes()
 
 
 def _frequencies(path: str, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -169,17 +176,16 @@ def _frequencies(path: str, seed: int) -> Callable[[Iterator[pa.RecordBatch]], I
             m = len(begin)
             if m:
                 postings = packed(np.column_stack([step, times]).ravel(), 2 * np.append(begin, len(key)))
-                rows = [pa.array(hashed[piece[begin]]), pa.array(np.full(m, n)), pa.array(np.full(m, docs, np.int32)), postings, *[pa.nulls(m, pa.list_(pa.int64()))] * 2]
-                yield pa.RecordBatch.from_arrays(rows, ["key", "chunk", "docs", "postings", "ids", "bytes"])
-            listed = [pa.ListArray.from_arrays(pa.array([0, docs], pa.int32()), pa.array(v, pa.int64())) for v in (b.column("doc_id").to_pylist(), size)]
-            head = [_hashes([f"head of {n}"], seed), pa.array([n]), pa.array([docs], pa.int32()), pa.nulls(1, pa.binary()), *listed]
-            yield pa.RecordBatch.from_arrays(head, ["key", "chunk", "docs", "postings", "ids", "bytes"])
+                rows = [pa.array(hashed[piece[begin]]), pa.array(np.full(m, n)), pa.array(np.full(m, docs, np.int32)), postings]
+                yield pa.RecordBatch.from_arrays(rows, ["key", "chunk", "docs", "postings"])
+            head = [_hashes([f"head of {n}"], seed), pa.array([n]), pa.array([0], pa.int32()), pa.array([_told(b.column("doc_id").to_pylist(), size)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(head, ["key", "chunk", "docs", "postings"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums by chunk and place, packed, as many at once as HELD_SUMS; rows with ids pass."""
+    """Sums by chunk and place, packed, as many at once as HELD_SUMS; rows of the documents themselves pass."""
     slot: dict[int, int] = {}
     total = np.zeros(1 << 16, np.int64)
     used = 0
@@ -192,14 +198,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = ends[:-1][ends[:-1] < ends[1:]]
         step[first] = (at - np.repeat(begin, np.diff(ends)))[first]
         sums = packed(np.column_stack([step, total[at]]).ravel(), 2 * ends)
-        none = pa.nulls(len(chunks), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), sums, none, none], ["chunk", "sums", "ids", "bytes"])
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array(np.ones(len(chunks), np.int32)), sums], ["chunk", "docs", "sums"])
 
     for b in batches:
-        heads = b.filter(b.column("ids").is_valid())
-        if heads.num_rows:
-            yield pa.RecordBatch.from_arrays([heads.column("chunk"), pa.nulls(heads.num_rows, pa.binary()), heads.column("ids"), heads.column("bytes")], ["chunk", "sums", "ids", "bytes"])
-        b = b.filter(b.column("postings").is_valid())
+        head = b.column("docs").to_numpy() == 0
+        if head.any():
+            heads = b.filter(pa.array(head))
+            yield pa.RecordBatch.from_arrays([heads.column("chunk"), heads.column("docs"), heads.column("postings")], ["chunk", "docs", "sums"])
+            b = b.filter(pa.array(~head))
         if not b.num_rows:
             continue
         chunk, docs = b.column("chunk").to_numpy(), b.column("docs").to_numpy()
@@ -228,9 +234,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, kinds = ["chunk", "place", "doc_id", "n_bytes", "tokens"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     for b in batches:
-        for c, ids, size in zip(*(b.filter(b.column("ids").is_valid()).column(k).to_pylist() for k in ("chunk", "ids", "bytes"))):
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(([c] * len(ids), range(len(ids)), ids, size, [0] * len(ids)), kinds)], names)
-        b = b.filter(b.column("sums").is_valid())
+        head = b.column("docs").to_numpy() == 0
+        heads = b.filter(pa.array(head))
+        for c, told in zip(heads.column("chunk").to_pylist(), heads.column("sums").to_pylist()):
+            ids, known, size = np.frombuffer(told, "<i8").reshape(3, -1)
+            m = len(ids)
+            columns = [np.full(m, c), np.arange(m, dtype=np.int32), pa.array(ids, mask=known == 0), size, np.zeros(m, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names)
+        b = b.filter(pa.array(~head))
         values, per = unpacked(b.column("sums"))
         step, per = values[0::2], per // 2
         run, begin = np.cumsum(step), np.cumsum(per) - per
@@ -256,8 +267,8 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: in
         stage.drop(f"counts{seed}")
     rows = arrow_map(texts, _frequencies(tokenizer, seed), _FREQUENCIES)
     # by merge: a broadcast of the counts would grow with the vocabulary
-    joined = rows.join(counts.hint("merge"), "key", "left").select("chunk", "docs", "postings", "ids", "bytes", F.coalesce("n", F.lit(0)).alias("n"))
-    sums = arrow_map(joined, _summed, "chunk long, sums binary, ids array<long>, bytes array<long>").repartition("chunk")
+    joined = rows.join(counts.hint("merge"), "key", "left").select("chunk", "docs", "postings", F.coalesce("n", F.lit(0)).alias("n"))
+    sums = arrow_map(joined, _summed, "chunk long, docs int, sums binary").repartition("chunk")
     by_document = arrow_map(sums, _by_document, "chunk long, place int, doc_id long, n_bytes long, tokens long")
     out = by_document.groupBy("chunk", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
