@@ -48,6 +48,52 @@ def _shortened(word: str, most: int) -> set[str]:
     return out
 
 
+class _Forms:
+    """Marks words of which a beginning, or the whole, may be within some edits of a term, many words at a time.
+
+    Two strings within k edits are equal after at most k letters are left out of each. The hashes of what is left of the
+    terms are bits of a table; those of the words are found from running sums, a few operations a letter for all words
+    at once. A mark may be wrong, a missing one is not.
+    """
+
+    _BASE = 0x9E3779B97F4A7C15
+    _INVERSE = pow(_BASE, -1, 1 << 64)
+    _BITS = 22
+
+    def __init__(self, near: dict[tuple[bool, int], set[str]], lengths: dict[tuple[bool, int], list[int]]):
+        self.lengths, self.table = lengths, {}
+        self.width = max((n for v in lengths.values() for n in v), default=0)
+        for group, forms in near.items():
+            table = self.table[group] = np.zeros(1 << self._BITS, bool)
+            table[self._slot(np.array([sum((ord(c) + 1) * pow(self._BASE, i, 1 << 64) for i, c in enumerate(f)) & (1 << 64) - 1 for f in forms], np.uint64))] = True
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self._BITS)
+
+    def may_be(self, words: list[str]) -> np.ndarray:
+        size, out = np.array(list(map(len, words)), np.int64), np.zeros(len(words), bool)
+        if not self.width or not len(words):
+            return out
+        letters = np.array(words, f"U{self.width}").view(np.uint32).reshape(len(words), self.width)
+        sums = [np.zeros(len(words), np.uint64)]
+        for i in range(self.width):
+            sums.append(sums[-1] + (letters[:, i].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(self._BASE, i, 1 << 64)))
+        once, twice = np.uint64(self._INVERSE), np.uint64(self._INVERSE * self._INVERSE & (1 << 64) - 1)
+        for (stem, k), table in self.table.items():
+            for n in self.lengths[stem, k]:
+                at = np.flatnonzero((size >= n if stem else size == n) & ~out)
+                if not len(at) or n <= 0:
+                    continue
+                p = [s[at] for s in sums[: n + 1]]
+                hit = table[self._slot(p[n])]
+                for i in range(n):
+                    hit |= table[self._slot(p[i] + (p[n] - p[i + 1]) * once)]
+                    for j in range(i + 1, n if k > 1 else 0):
+                        hit |= table[self._slot(p[i] + (p[j] - p[i + 1]) * once + (p[n] - p[j + 1]) * twice)]
+                out[at[hit]] = True
+        return out
+
+
 class Trie:
     """Terms with a weight each; a stem also accepts any ending. ``near`` has other weights for their misspellings."""
 
@@ -74,6 +120,7 @@ class Trie:
             self.near.setdefault((stem, k), set()).update(_shortened(t, k))
             lengths.setdefault((stem, k), set()).update(range(len(t) - k, len(t) + k + 1))
         self.lengths = {x: sorted(v) for x, v in lengths.items()}
+        self.forms = _Forms(self.near, self.lengths)
         # neighbours swapped: listed, since a swap may touch both halves of a term
         self.swapped = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: w for t, stem, w in terms if not stem and len(t) > 4 for i in range(len(t) - 1) if t[i] != t[i + 1]}
 
@@ -129,7 +176,11 @@ class Trie:
                     return True
         return False
 
-    def hit(self, word: str, common: frozenset[str]) -> tuple[float, float]:
+    def marks(self, words: list[str]) -> list[bool]:
+        """Which words ``hit`` has to look at for misspellings."""
+        return self.forms.may_be([w.strip(_EDGE).translate(_LEET) for w in words]).tolist()
+
+    def hit(self, word: str, common: frozenset[str], marked: bool = True) -> tuple[float, float]:
         """(weight of an exact or stem hit, weight of a misspelt hit) of one lower-case word."""
         w = word.strip(_EDGE)
         if not w:
@@ -145,7 +196,7 @@ class Trie:
             return 0.0, 0.0
         if v in self.swapped:
             return 0.0, self.swapped[v]
-        if not self.may_be_fuzzy(v):
+        if not marked or not self.may_be_fuzzy(v):
             return 0.0, 0.0
         near = self.fuzzy(v)
         return (0.0, near[0] / near[1]) if near and near[1] else (0.0, near[0]) if near else (0.0, 0.0)
@@ -171,19 +222,16 @@ def _features(terms: list[tuple[str, bool, float]], common: frozenset[str], near
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(terms, near)
 
-        class Known(dict):
-            def __missing__(self, w: str) -> tuple[float, float] | None:
-                got = trie.hit(w, common)
-                got = self[w] = got if got != (0.0, 0.0) else None
-                return got
-
-        known = Known()
+        known: dict[str, tuple[float, float] | None] = {}
         for b in slices(batches):
             if len(known) > CACHE_WORDS:
                 known.clear()
-            rows = []
-            for t in b.column("text").to_pylist():
-                words = t.lower().split()
+            rows, texts = [], [t.lower().split() for t in b.column("text").to_pylist()]
+            new = list({w for words in texts for w in words if w not in known})
+            for w, marked in zip(new, trie.marks(new)):
+                got = trie.hit(w, common, marked)
+                known[w] = got if got != (0.0, 0.0) else None
+            for words in texts:
                 got = list(map(known.__getitem__, words))
                 at = [i for i, g in enumerate(got) if g is not None]
                 if not at:
@@ -267,7 +315,8 @@ def _misspelt(terms: list[tuple[str, bool, float]], common: frozenset[str]) -> C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(terms)
         for b in batches:
-            got = [(x[2], bad, n) for w, bad, n in zip(*(c.to_pylist() for c in b.columns)) if trie.hit(w, common)[1] and trie.may_be_fuzzy(w) and (x := trie.fuzzy(w))]
+            rows = [*zip(*(c.to_pylist() for c in b.columns))]
+            got = [(x[2], bad, n) for (w, bad, n), marked in zip(rows, trie.marks([r[0] for r in rows])) if trie.hit(w, common, marked)[1] and trie.may_be_fuzzy(w) and (x := trie.fuzzy(w))]
             yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["t", "bad", "n"])
 
     return run
