@@ -59,18 +59,11 @@ def _entries(p: int, digests: str, level: str = "0") -> str:
 
 
 def _cells(rows: DataFrame, entries: list[str]) -> DataFrame:
-    """(b, r, p, g, cells array<struct<j, c, k, s>>): what each sketch and each difference holds; rows are placed by b."""
+    """(b, r, p, g, cells array<struct<j, c, k, s>>): what each sketch holds, those of a pair subtracted; rows are placed by b."""
     e = rows.select("b", "r", F.expr(f"explode(concat({', '.join(entries)}))").alias("e")).select("b", "r", "e.p", "e.g", "e.d", F.xxhash64("e.d").alias("h"))
     small, large = (F.array(*map(F.expr, _places("d", bits))) for bits in (PRINT_BITS, PAIR_BITS))
     e = e.select("b", "r", "p", "g", "d", "h", F.explode(F.when(F.col("p") <= NEXT, small).otherwise(large)).alias("j"))
     cells = e.groupBy("b", "r", "p", "g", "j").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("h").alias("s"))
-    # a fingerprint also goes into its differences; xor adds and subtracts
-    goes = {TEXT: (TEXT, LESS_EDITED, LESS_NEXT), EDITED: (EDITED, LESS_EDITED), NEXT: (NEXT, LESS_NEXT)}
-    to = F.array("p")
-    for p, more in goes.items():
-        to = F.when(F.col("p") == p, F.array(*map(F.lit, more))).otherwise(to)
-    cells = cells.select("b", "r", F.explode(to).alias("p"), "g", "j", "c", "k", "s")
-    cells = cells.groupBy("b", "r", "p", "g", "j").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("s").alias("s"))
     kept = cells.where((F.col("p") <= NEXT) | (F.col("k") != 0) | (F.col("s") != 0))
     return kept.groupBy("b", "r", "p", "g").agg(F.array_sort(F.collect_list(F.struct("j", "c", "k", "s"))).alias("cells"))
 
@@ -89,26 +82,36 @@ def peel_sql(cells: str, bits: int = PAIR_BITS) -> str:
 
 def _found(cells: DataFrame) -> DataFrame:
     """The fingerprints, the number of digests in each, and of each difference the number recovered, null if stuck."""
-    n = F.expr(f"case when p >= {LESS_EDITED} then {peel_sql('cells', PRINT_BITS)} when p >= {LARGE_EDITED} then {peel_sql('cells')} end")
+    n = F.expr(f"if(p >= {LARGE_EDITED}, {peel_sql('cells')}, null)")
     held = F.expr(f"if(p <= {NEXT}, aggregate(filter(cells, x -> x.j < {1 << PRINT_BITS}), 0L, (a, x) -> a + x.c), null)")
     hexed = "transform(cells, x -> concat(lpad(hex(x.j), 2, '0'), lpad(hex(x.c), 8, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.s), 16, '0')))"
-    sketch = F.expr(f"if(p <= {EDITED}, unhex(array_join({hexed}, '')), null)")
-    at = cells.select("b", "r", "p", n.alias("n"), held.alias("held"), sketch.alias("print"))
+    at = cells.select("b", "r", "p", "g", n.alias("n"), held.alias("held"), F.expr(f"if(p <= {NEXT}, cells, null)").alias("cells"))
     only = lambda p, c: F.when(F.col("p") == p, F.col(c))
     counts = [F.coalesce(F.max(only(p, "held")), F.lit(0)).alias(f"n{p}") for p in (TEXT, EDITED, NEXT)]
-    recovered = [F.when(F.count_if((F.col("p") == p) & F.col("n").isNull()) == 0, F.coalesce(F.sum(only(p, "n")), F.lit(0))).alias(f"d{p}") for p in range(LARGE_EDITED, LESS_NEXT + 1)]
-    return at.groupBy("b", "r").agg(*[F.max(only(p, "print")).alias(f"print{p}") for p in (TEXT, EDITED)], *counts, *recovered)
+    recovered = [F.when(F.count_if((F.col("p") == p) & F.col("n").isNull()) == 0, F.coalesce(F.sum(only(p, "n")), F.lit(0))).alias(f"d{p}") for p in (LARGE_EDITED, LARGE_NEXT)]
+    none = F.array().cast("array<struct<j:int,c:bigint,k:bigint,s:bigint>>")
+    sketches = [F.coalesce(F.first(only(p, "cells"), ignorenulls=True), none).alias(f"cells{p}") for p in (TEXT, EDITED, NEXT)]
+    row = at.groupBy("b", "r").agg(*sketches, *counts, *recovered)
+    prints = [F.expr(f"unhex(array_join({hexed.replace('(cells,', f'(cells{p},')}, ''))").alias(f"print{p}") for p in (TEXT, EDITED)]
+    less = [F.expr(f"element_at(transform(array({less_sql(f'cells{TEXT}', f'cells{p}')}), x -> {peel_sql('x', PRINT_BITS)}), 1)").alias(f"d{d}") for p, d in ((EDITED, LESS_EDITED), (NEXT, LESS_NEXT))]
+    return row.select("b", "r", *(f"n{p}" for p in (TEXT, EDITED, NEXT)), f"d{LARGE_EDITED}", f"d{LARGE_NEXT}", *prints, *less)
+
+
+def less_sql(a: str, b: str) -> str:
+    """The cells of one fingerprint less those of another, without empty ones; xor adds and subtracts."""
+    folded = f"aggregate(filter(concat({a}, {b}), x -> x.j = i), named_struct('j', i, 'k', 0L, 's', 0L), (st, x) -> named_struct('j', st.j, 'k', st.k ^ x.k, 's', st.s ^ x.s))"
+    return f"filter(transform(sequence(0, {3 * (1 << PRINT_BITS) - 1}), i -> {folded}), x -> x.k != 0L or x.s != 0L)"
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, text, b, guest, next): of the rows with guest 0, next is the text of the following row by descending doc_id, of the last row the first's.
 
-    Rows go to ranges of doc_id, four for each of ``parts`` partitions, cut at its quantiles, in one shuffle; the first row of each range is also
+    Rows go to ranges of doc_id, two for each of ``parts`` partitions, cut at its quantiles, in one shuffle; the first row of each range is also
     sent to the range before it, so that a window over each range alone sees every row's successor. Equal doc_ids are
     ordered by text; null doc_ids come last.
     """
     spark = docs.sparkSession
-    ranges = 4 * parts
+    ranges = 2 * parts
     cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
     cuts = sorted(set(cuts or []), reverse=True)
     stride = max(1, round(len(cuts) ** 0.5))
@@ -151,7 +154,7 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     stage = Stage(spark, "fingerprints")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # cells take many times the room of their text
     near = with_next(rows, parts).withColumn("r", F.row_number().over(_order()))
     third = "cast(floor(length(text) / 3) as int)"
     edited = F.concat(F.expr(f"left(text, length(text) - {third})"), F.expr(f"left(next, {third})"))
