@@ -1,8 +1,8 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame and SQL functions only.
 
-A text is cut into pieces by one rule at every size: at line ends, after full stops and the like, and at white space
-after two frequent letters; what is longer than LONGEST is cut every CHUNK characters, so a changed tail leaves the
-digests before it alone. The 64-bit digests of the distinct pieces go into a sketch of three subtables, each digest
+A text is cut into pieces by one rule at every size: a piece ends, SHORTEST characters after its start at the earliest
+and LONGEST at the latest, at a line end or at white space after a full stop or the like or one of two frequent letters,
+so a changed tail leaves the digests before it alone and a changed head most of those after it. The 64-bit digests of the distinct pieces go into a sketch of three subtables, each digest
 into one cell of each, and a cell holds a count, the xor of its digests and the xor of their check hashes.
 
 The returned fingerprint of a text is such a sketch of fixed size. Those of two texts are subtracted cell by cell, which
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import Stage, setting
 
-LONGEST, CHUNK = 120, 64
+#: Code points of a piece, but for the last one of a text.
+SHORTEST, LONGEST = 24, 120
 #: Bits of a place in a subtable, for fingerprints and for larger sketches; differing digests wanted in one sketch.
 PRINT_BITS, PAIR_BITS, LOAD, LEAST, RETRY_LEVELS = 3, 6, 6, 16, 3
 #: Sketches by number: of the text, the edited and the next one; larger ones of both pairs; differences of fingerprints.
@@ -38,9 +39,9 @@ _CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
 def pieces_sql(text: str) -> str:
     """array<long>: the distinct digests of a text, sorted."""
-    cut = f"split({text}, '(?<=[.!?;:nt])\\\\s+|\\\\s*\\n\\\\s*')"
-    short = f"flatten(transform({cut}, x -> if(length(x) <= {LONGEST}, array(x), regexp_extract_all(x, '(?s).{{1,{CHUNK}}}', 0))))"
-    return f"array_sort(array_distinct(transform(filter({short}, x -> x != ''), x -> xxhash64(x))))"
+    space = "[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]"
+    piece = f"(?s).{{{SHORTEST},{LONGEST}}}?(?:(?<=[.!?;:nt]){space}+|\\\\n|\\\\z)|.{{1,{LONGEST}}}"
+    return f"array_sort(array_distinct(transform(regexp_extract_all({text}, '{piece}', 0), x -> xxhash64(x))))"
 
 
 def _places(d: str, bits: int) -> list[str]:

@@ -282,8 +282,7 @@ def test_fingerprints(spark, docs, empty):
     import re
 
     def pieces(x):
-        parts = re.split(r"(?<=[.!?;:nt])[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", x)
-        return {c for p in parts if p for c in ([p] if len(p) <= 120 else [p[i : i + 64] for i in range(0, len(p), 64)])}
+        return set(re.findall(r"(?s).{24,120}?(?:(?<=[.!?;:nt])[ \t\n\x0b\f\r]+|\n|\Z)|.{1,120}", x))
 
     def like(a, b):
         return 1.0 if not a | b else len(a & b) / len(a | b)
@@ -302,9 +301,38 @@ def test_fingerprints(spark, docs, empty):
     for r in got:
         prints[dict(rows)[r.doc_id]].add(r.fingerprint)
     assert all(len(p) == 1 for p in prints.values())
+    # what the returned fingerprints alone tell, where subtracting and peeling them gets through
+    peeled = [(r, d) for r in got if (d := _peeled(r.fingerprint, r.edited_fingerprint)) is not None]
+    assert len(peeled) > len(got) // 2
+    for r, d in peeled:
+        n = sum(int(p.split("-")[0], 16) for p in (r.fingerprint, r.edited_fingerprint))
+        assert r.near_edited == (1.0 if not n else (n - d) / (n + d))
     assert fingerprints.fingerprints(spark, empty).count() == 0
 
 
+def _peeled(a, b):
+    import base64
+
+    cells = defaultdict(lambda: [0, 0])
+    for p in (a, b):
+        raw = base64.b64decode(p.split("-")[1])
+        for at in range(0, len(raw), 21):
+            cells[raw[at]][0] ^= int.from_bytes(raw[at + 5 : at + 13], "big")
+            cells[raw[at]][1] ^= int.from_bytes(raw[at + 13 : at + 21], "big")
+    found = 0
+    while any(c != [0, 0] for c in cells.values()):
+        pure = {k for k, s in cells.values() if xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42) == s}
+        if not pure:
+            return None
+        for d in pure:
+            found += 1
+            for i in range(3):
+                j = (i << 3) + (d >> 3 * i & 7)
+                cells[j][0] ^= d
+                cells[j][1] ^= xxhash.xxh64_intdigest(d.to_bytes(8, "little"), 42)
+    return found
+
+
 def test_toxicity(spark, docs, labels, empty):
     bad = [(400 + i, f"you are a {w} and all know it {i}", "en", 1, 1, "k") for i, w in enumerate(["moron", "m0ron", "worthles", "idoit", "pathetic"])]
     table = docs.unionByName(spark.createDataFrame(bad, SCHEMA))
