@@ -28,8 +28,8 @@ def stats_line(out: Column | str, given: Column | str, what: str, original: Colu
 
 
 def write_texts(df: DataFrame, path: str, text: str = "text") -> None:
-    """Texts as they are, one part file a partition, nothing added after a text."""
-    df.select(F.col(text).alias("value")).write.option("lineSep", "\0").text(path)
+    """Texts as they are, one part file a partition; a text that doesn't end with a newline gets one."""
+    df.select(F.regexp_replace(text, "\n\\z", "").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -88,3 +88,34 @@ def test_squeeze(spark):
     assert all(R.tokens(r.text) == r.final_tokens <= 9 for r in squeeze(d, 9, "head-tail", marker=False).collect())
     with pytest.raises(ValueError, match="unknown strategy"):
         squeeze(d, 9, "nonsense")
+
+
+def test_squeeze_keeps_null_keys_and_caches_nothing(spark):
+    d = spark.createDataFrame([(None, "one\n\ntwo"), (None, "three"), (1, "four")], "doc_id long, text string")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert sorted((r.doc_id is None, r.text) for r in squeeze(d, 50, "dedupe,score").collect()) == [(False, "four"), (True, "one\n\ntwo"), (True, "three")]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_squeeze_with_a_registered_stage(spark):
+    from sievewright.plans import squeeze as S
+
+    S.register_stage("first", lambda segments, **_: segments.where("index = 0"), "first dropped %d segment(s)")
+    try:
+        got = squeeze(docs(spark, ["one\n\ntwo", ""]), 50, "first").orderBy("doc_id").collect()
+    finally:
+        del S.STRATEGIES["first"], S._NOTES["first"]
+    assert [(r.text, r.segments_out, r.notes) for r in got] == [("one\n\n[1 segments elided]", 1, ["first dropped 1 segment(s)"]), ("", 0, [])]
+
+
+def test_functions_in_sql(spark):
+    T.register(spark)
+    row = spark.sql("select estimate_tokens('hello world'), truncate_to_tokens('one two three four', 2, ''), text_shingles('a b c', 2), fits_budget('cat', 1), jaccard(text_words('a b'), array('a'))").first()
+    assert list(row) == [R.tokens("hello world"), R.truncate("one two three four", 2), ["a b", "b c"], True, 0.5]
+
+
+def test_write_texts(spark, tmp_path):
+    from sievewright.sources.files import write_texts
+
+    write_texts(docs(spark, ["abc", "d\ne\n"]).coalesce(1), f"{tmp_path}/out")
+    assert "".join(p.read_text() for p in sorted(tmp_path.glob("out/part*"))) == "abc\nd\ne\n"

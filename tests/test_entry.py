@@ -22,3 +22,11 @@ def test_against_sql(spark, name):
     want = c.execute(entry.oracle_sql()[name])
     columns = [x[0] for x in want.description]
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want.fetchall())
+
+
+def test_names_of_the_package():
+    import sievewright
+
+    assert all(callable(getattr(sievewright, n)) for n in sievewright.__all__)
+    with pytest.raises(AttributeError):
+        sievewright.nothing  # noqa: B018
