@@ -432,3 +432,28 @@ def test_elias_fano():
         assert (e.get(np.arange(n)) == v).all()
         q = np.concatenate([v, rng.integers(0, top + 9, 500, dtype=np.uint64)])
         assert (e.successor(q) == np.searchsorted(v, q, "left")).all()
+
+
+def test_stages_with_clashing_columns(spark, docs, labels):
+    rows = [(i, t, 1, 2, 3, 4) for i, t in enumerate(["one two three", None, "four"])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, GONE int, spans int, Span_Doc int, span_v int")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    for left in (substring_dedup.remove_repeats(spark, table), decontamination.clean_documents(spark, table, bench), simhash.keep_first(spark, table)):
+        assert left.columns == table.columns and sorted(map(tuple, left.collect())) == rows
+
+
+def test_substring_dedup_of_repeated_ids(spark):
+    u, v = (" ".join(f"{c}{i}" for i in range(30)) for c in "uv")
+    got = substring_dedup.dedup(spark, spark.createDataFrame([(1, u), (2, u), (2, v)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.kept) for r in got) == [(1, 0, u), (2, 0, v), (2, 30, "")]
+
+
+@pytest.mark.parametrize("text", ["  two  spaces ", "a\n\n  b \t c", "x<|endoftext|> y  <|endoftext|>", " lead", "tail ", "naïve  漢字   z", "it's  don't\r\n 12  34"])
+def test_token_units(text):
+    path = tokenizer_path("byte_bpe_50k.json")
+    units, t = token_counts._Units(path), Tokenizer.from_file(path)
+    parts = units(text)
+    names = list(units.piece)
+    pieces = [names[p] for u in parts for p in units.of[units.ends[u] : units.ends[u + 1]]]
+    assert sorted("".join(pieces)) == sorted(text)
+    assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in pieces) == len(t.encode(text, add_special_tokens=False).ids)
