@@ -2,7 +2,7 @@
 
 1. toxicity: documents that are predicted toxic go.
 2. near_dedup: of each group linked by a five-word Jaccard similarity of 0.8 or more the document with the smallest doc_id
-   stays.
+   stays; links are met in the SimHash popcount grid, those beyond its radius by shared shingles.
 3. substring_dedup: words covered by 20-word windows that start earlier in the corpus are removed from the texts.
 4. decontamination: documents that overlap a benchmark item go.
 5. packing: what is left is tokenized and packed into sequences; one row a piece.

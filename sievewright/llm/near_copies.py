@@ -1,13 +1,20 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly.
-
-Texts with equal shingle sets are one node. Shingles stand in one order: first a share of all shingles, picked by hash,
-from rare to frequent as counted over the whole corpus, then the others by hash. Two sets of that similarity share a
-shingle among the first fifth (and one) of both in this order (prefix filter). So only the picked shingles are counted
-and joined, and a set with a fifth of its shingles found nowhere else drops out at once, which is most of the corpus;
-shared passages are frequent, so they come last and seldom make sets meet. Nodes that meet are verified against the
-least node they meet, and then pairwise, but only across the components found so far, so that a large cluster is not
-listed in pairs. Shingle hashes have 64 bits. Counts are partial sums before they shuffle, and the joins on shingles may
-be split, so a shingle that a third of all texts has does not end in one task.
+"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found through SimHash.
+
+Texts with equal shingle sets are one node. Nodes within 14 of 64 SimHash bits meet in the segment-popcount grid
+(``simhash.part_cells``), which misses none of them, in bands of set sizes; Jaccard then decides. A similarity of 0.8
+is about ten bits, but any number may occur, so no radius finds all: pairs further apart, and only those, are looked
+for among sets that share a shingle of their prefixes. So every link is found, whatever its bits.
+
+Prefixes: shingles stand in one order, first a share of all shingles, picked by hash, from rare to frequent as counted
+over the whole corpus, then the others by hash. Two sets of that similarity share a shingle among the first fifth (and
+one) of both in this order. So only the picked shingles are counted and joined, and a set with a fifth of its shingles
+found nowhere else drops out at once, which is most of the corpus; shared passages are frequent, so they come last and
+seldom make sets meet. A set that shares nothing in its prefix has no link, so it needs no fingerprint either.
+
+Nodes of the same popcounts in two parts are first verified against the least of them, all others pairwise, but only
+across the components found so far, so that a large cluster is not listed in pairs. Shingle hashes have 64 bits. Counts
+are partial sums before they shuffle, and the joins on cells and shingles may be split, so a shingle that a third of all
+texts has does not end in one task.
 """
 
 from __future__ import annotations
@@ -20,11 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import U64, Stage, arrow_map, components, ids_and_texts, offsets_and_bytes, slices, span_hashes, window_hashes, without, word_spans
 
 SHINGLE = 5
 #: Shingles with hashes below are picked: five in sixteen, so that a set has more of them than its prefix needs.
 PICKED = U64(5 << 60)
+#: Sets of this similarity differ in size by 1.25 at most, so they lie in the same band or in neighbours.
+BAND = "cast(floor(ln(n) / ln(1.26)) as long)"
+_SIZES = "5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"
+_BITS = "bit_count(x.fp ^ y.fp)"
 
 
 def _shingles(b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -80,7 +92,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
         sets = list(_shingles(b))
-        yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), _lists(sets)], ["node", "shingles"])
+        columns = [pa.array(map(_node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(simhash.of_hashes, sets), pa.int64()), _lists(sets)]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "fp", "shingles"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -90,7 +103,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _met(texts: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
-    """(h, node, n, i, lo struct<node, n, i>): the prefix shingles, at place i of the order, that several nodes share."""
+    """(h, node, n, i): the prefix shingles, at place i of the order, that several nodes share."""
     shared = arrow_map(texts, _counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where("c > 1")
     shared = stage.keep(shared, "shared")
     # by merge: the shared shingles grow with the corpus
@@ -104,8 +117,37 @@ def _met(texts: DataFrame, nodes: DataFrame, stage: Stage) -> DataFrame:
     held = stage.keep(held.select("node", "n", "u", F.expr("transform(slice(s, 1, k), x -> x.h)").alias("hs")), "prefixes")
     stage.drop("shared")
     rows = held.select("node", "n", F.posexplode("hs").alias("i", "h"), "u").select("h", "node", "n", (F.col("i") + F.col("u")).alias("i"))
-    hubs = rows.groupBy("h").agg(F.min(F.struct("node", "n", "i")).alias("lo"), F.max("node").alias("hi")).where("lo.node <> hi").select("h", "lo")
-    return stage.keep(rows.join(hubs.hint("merge"), "h").select("h", "node", "n", "i", "lo"), "met")
+    several = rows.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
+    return stage.keep(rows.join(several.hint("merge"), "h").select("h", "node", "n", "i"), "met")
+
+
+def _alike(prints: DataFrame) -> DataFrame:
+    """(a, b): each node beside the least node of its size band with the same popcounts in two parts of the fingerprint."""
+    rows = prints.select("node", F.explode(F.array(*[F.struct(F.expr(BAND).alias("band"), key.alias("key")) for key in simhash.part_pairs()])).alias("cell"))
+    least = rows.groupBy("cell").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("cell", "lo")
+    return rows.join(least.hint("merge"), "cell").where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
+
+
+def _within(placed: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes (node, n, fp, c) of different components c within the radius, met in the grid."""
+    cells = placed.select("node", "n", "fp", "c", F.expr(BAND).alias("band"), F.explode(simhash.part_cells()).alias("cell"))
+    rows = cells.select("node", "n", "fp", "c", "cell", "band", F.explode(F.array(F.lit(0), F.lit(1))).alias("up")).withColumn("band", F.expr("band + up"))
+    x, y = rows.alias("x").hint("merge"), rows.alias("y")
+    near = f"x.cell = y.cell and x.band = y.band and x.node < y.node and x.up + y.up < 2 and x.c <> y.c and {_BITS} <= {simhash.PART_RADIUS} and {_SIZES}"
+    return x.join(y, F.expr(near)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _beyond(placed: DataFrame) -> DataFrame:
+    """(a, b): the pairs of nodes (h, node, n, i, fp, c) of different components outside the radius that share a prefix shingle h."""
+    x, y = placed.alias("x"), placed.alias("y")
+    pairs = x.join(y, F.expr(f"x.h = y.h and x.node < y.node and x.c <> y.c and {_BITS} > {simhash.PART_RADIUS} and {_SIZES}"))
+    # at the first shingle that two sets share, what follows in both bounds the rest
+    pairs = pairs.where("9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)")
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _placed(rows: DataFrame, component: DataFrame) -> DataFrame:
+    return rows.join(component.select("node", "component"), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -119,21 +161,18 @@ def near_copies(spark: SparkSession, docs: DataFrame) -> DataFrame:
     nodes = stage.keep(arrow_map(texts, _nodes, "doc_id long, node long, n int, m int"), "nodes")
     met = _met(texts, nodes, stage)
     first = nodes.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = arrow_map(texts.join(first.select("doc_id").distinct(), "doc_id", "left_semi"), _sets, "node long, shingles array<long>")
+    sets = arrow_map(texts.join(first.select("doc_id").distinct(), "doc_id", "left_semi"), _sets, "node long, n int, fp long, shingles array<long>")
     sets = stage.keep(sets.dropDuplicates(["node"]), "sets")
-    stars = met.where("node <> lo.node and 5 * least(n, lo.n) >= 4 * greatest(n, lo.n) and 9 * least(n - i, lo.n - lo.i) >= 4 * (n + lo.n)")
-    stars = stars.select(F.col("node").alias("a"), F.col("lo.node").alias("b")).distinct()
-    stars = stage.keep(_verified(stars, sets), "stars")
-    so_far = components(stars, stage, "so_far").select("node", "component")
-    placed = stage.keep(met.join(so_far, "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c")), "placed")
-    x, y = placed.alias("x"), placed.alias("y")
-    pairs = x.join(y, F.expr("x.h = y.h and x.node < y.node and x.c <> y.c and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
-    # at the first shingle that two sets share, what follows in both bounds the rest
-    pairs = pairs.where("9 * least(x.n - x.i, y.n - y.i) >= 4 * (x.n + y.n)").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    links = stage.keep(stars.unionByName(_verified(pairs, sets)), "links")
+    prints = sets.select("node", "n", "fp")
+    stars = stage.keep(_verified(_alike(prints), sets), "stars")
+    near = _within(stage.keep(_placed(prints, components(stars, stage, "starred")), "placed"))
+    near = stage.keep(stars.unionByName(_verified(near, sets)), "within")
+    far = met.join(prints.select("node", "fp"), "node")
+    far = _beyond(stage.keep(_placed(far, components(near, stage, "so_far")), "far"))
+    links = stage.keep(near.unionByName(_verified(far, sets)), "links")
     component = stage.keep(components(links, stage, "all"), "components")
     labels = nodes.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
-    stage.drop("prefixes", "met", "sets", "stars", "placed", "links")
+    stage.drop("prefixes", "met", "sets", "stars", "placed", "within", "far", "links")
     least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return labels.join(least, "component").select("doc_id", "component_id")
 

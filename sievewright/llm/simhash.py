@@ -11,18 +11,20 @@ on that value and each group (65 members at most) becomes a star. No step lists
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stage, arrow_map, components, ids_and_texts, without
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 SEGMENTS, SEGMENT_BITS = 16, 4
+#: For a wide radius: first bits of the parts. Of 14 differing bits one of five parts has two at most.
+PART_RADIUS, PARTS, PART_SEGMENT_BITS = 14, (0, 12, 24, 36, 50, 64), 2
 _AT_ONCE = 1 << 14
 
 
@@ -41,6 +43,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * h > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes as a signed long: a bit is set if it is set in over half of them; of none: 0."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _AT_ONCE):
+        block = hashes[at : at + _AT_ONCE].astype("<u8")
+        ones += np.unpackbits(block.view(np.uint8).reshape(len(block), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t) for t in b.column("text").cast(pa.binary()).to_pylist()], "<u8")
@@ -65,6 +76,36 @@ def grid_cells(fps: DataFrame) -> DataFrame:
     return at.select("fp", F.explode(F.array_compact(F.array(*steps))).alias("cell"))
 
 
+def _popcounts(lo: int, hi: int) -> list[Column]:
+    at = F.lit((1 << PART_SEGMENT_BITS) - 1)
+    return [F.bit_count(F.shiftrightunsigned("fp", i).bitwiseAND(at)).cast("long") for i in range(lo, hi, PART_SEGMENT_BITS)]
+
+
+def _part_keys() -> list[Column]:
+    """Of each part the popcounts of its segments, as digits of two bits below 2**14, and the part's number from 2**14."""
+    return [sum((c * F.lit(1 << 2 * i) for i, c in enumerate(_popcounts(lo, hi))), F.lit(p << 14).cast("long")) for p, (lo, hi) in enumerate(zip(PARTS, PARTS[1:]))]
+
+
+def part_cells() -> Column:
+    """Of a column fp: for each part the grid cells within one step of its popcount vector.
+
+    Fingerprints within PART_RADIUS bits have a part with two differing bits at most, so that its popcount vectors lie
+    within two steps and share a cell, as in ``grid_cells``; vectors further apart share none.
+    """
+    cells = []
+    for key, lo, hi in zip(_part_keys(), PARTS, PARTS[1:]):
+        cells.append(key)
+        for i, c in enumerate(_popcounts(lo, hi)):
+            cells.append(F.when(c < PART_SEGMENT_BITS, key + F.lit(1 << 2 * i)))
+            cells.append(F.when(c > 0, key - F.lit(1 << 2 * i)))
+    return F.array_compact(F.array(*cells))
+
+
+def part_pairs() -> list[Column]:
+    """Of a column fp: for each two parts the popcounts of both."""
+    return [F.shiftleft(a, 17).bitwiseOR(b) for a, b in combinations(_part_keys(), 2)]
+
+
 def links(fps: DataFrame, stage: Stage) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of 2 differing bits or fewer: a star for each shared value."""
     cells = grid_cells(fps)

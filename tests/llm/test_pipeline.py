@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -56,3 +57,64 @@ def test_near_dedup_drops_near_copies(spark):
     left = [r.doc_id for r in near_dedup(spark, table, "").collect()]
     assert sorted(left, key=lambda d: (d is None, d)) == [*sorted(set(label.values())), None]
     assert 25 < len(set(label.values())) < len(docs) - 30
+
+
+def _print(text):
+    from sievewright.llm import near_copies, simhash
+
+    return simhash.of_hashes(next(near_copies._shingles(pa.RecordBatch.from_pydict({"text": [text]})))) % (1 << 64)
+
+
+def test_near_dedup_links_through_the_fingerprint_grid(spark, monkeypatch):
+    from sievewright.llm import near_copies, simhash
+
+    rng = random.Random(14)
+    words = [f"word{i}" for i in range(900)]
+    pairs = {True: [], False: []}
+    while min(len(v) for v in pairs.values()) < 4:
+        t = rng.choices(words, k=58)
+        u = [*t[:29], "other", *t[30:]]  # 49 of 59 shingles are in both
+        a, b = " ".join(t), " ".join(u)
+        pairs[(_print(a) ^ _print(b)).bit_count() <= simhash.PART_RADIUS].append((a, b))
+    near, far = pairs[True][:6], pairs[False][:4]
+    texts = [t for p in near + far for t in p]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    second = [set(range(1, 2 * len(near), 2)), set(range(2 * len(near) + 1, len(texts), 2))]
+    gone = lambda: set(range(len(texts))) - {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, table, "").collect()}
+    none = lambda rows: rows.selectExpr("node as a", "node as b").where("false")
+    assert gone() == second[0] | second[1]
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "_beyond", none)
+        assert gone() == second[0]
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "_alike", none)
+        m.setattr(near_copies, "_within", none)
+        assert gone() == second[1]
+    with monkeypatch.context() as m:
+        m.setattr(near_copies, "_alike", none)
+        assert gone() == second[0] | second[1]
+
+
+def test_grid_of_the_wide_radius_misses_no_pair(spark):
+    from sievewright.llm import near_copies, simhash
+
+    rng = random.Random(15)
+    prints = [rng.getrandbits(64) for _ in range(30)] + [0, (1 << 64) - 1]
+    for fp in prints[:32]:
+        for bits in (1, 2, 8, 13, 14, 14, 14, 15, 16):
+            prints.append(fp ^ sum(1 << at for at in rng.sample(range(64), bits)))
+    rows = [(i, rng.choice((80, 99, 100, 101, 125)), fp - (1 << 64) if fp >> 63 else fp, i % 7) for i, fp in enumerate(prints)]
+    got = {(r.a, r.b) for r in near_copies._within(spark.createDataFrame(rows, "node long, n int, fp long, c long")).collect()}
+    within = lambda x, y: (prints[x[0]] ^ prints[y[0]]).bit_count() <= simhash.PART_RADIUS and 5 * min(x[1], y[1]) >= 4 * max(x[1], y[1])
+    assert got == {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[3] != y[3] and within(x, y)}
+    assert len(got) > 100
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 40_000])
+def test_simhash_of_hashes(n):
+    import numpy as np
+    from sievewright.llm import simhash
+
+    hashes = [random.Random(n + i).getrandbits(64) for i in range(n)]
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
+    assert simhash.of_hashes(np.array(hashes, np.uint64)) % (1 << 64) == want
