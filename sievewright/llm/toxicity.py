@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, arrow_map, ids_and_texts, slices, without
+from .common import Stage, arrow_map, ids_and_texts, setting, slices, without
 
 #: Labelled training rows that the lexicon and the model are fitted on, at most; and learned terms, at most.
 SAMPLE_ROWS, LEARNED_TERMS = 20_000, 4_000
 MIN_DOCS, MIN_PURITY, MIN_STEM, CONTEXT = 3, 0.8, 4, 6
-#: Words whose hits a task remembers.
-CACHE_WORDS = 400_000
+#: Words whose hits a task remembers, and words whose sums of letters it holds at once.
+CACHE_WORDS, MARK_WORDS = 400_000, 1 << 14
+#: Bytes of text in an Arrow batch, and of those that are split into words at once.
+BATCH_BYTES, SPLIT_BYTES = 1 << 22, 1 << 20
 
 BUILT_IN = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "scumbag", "dumbass", "asshole", "bastard")
 _SPOKEN = frozenset("said says say wrote called calls quote quoted quoting told reported word term".split())
@@ -71,8 +73,12 @@ class _Forms:
         return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self._BITS)
 
     def may_be(self, words: list[str]) -> np.ndarray:
+        parts = [self._may_be(words[at : at + MARK_WORDS]) for at in range(0, len(words), MARK_WORDS)]
+        return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+    def _may_be(self, words: list[str]) -> np.ndarray:
         size, out = np.array(list(map(len, words)), np.int64), np.zeros(len(words), bool)
-        if not self.width or not len(words):
+        if not self.width:
             return out
         letters = np.array(words, f"U{self.width}").view(np.uint32).reshape(len(words), self.width)
         sums = [np.zeros(len(words), np.uint64)]
@@ -180,6 +186,16 @@ class Trie:
         """Which words ``hit`` has to look at for misspellings."""
         return self.forms.may_be([w.strip(_EDGE).translate(_LEET) for w in words]).tolist()
 
+    def telling(self, common: frozenset[str]) -> frozenset[str]:
+        """Those of the common words that ``hit`` would take for misspellings; the others change no hit."""
+        words = list(common)
+        out = set()
+        for w, marked in zip(words, self.marks(words)):
+            v = w.translate(_LEET)
+            if v in self.swapped or (marked and self.may_be_fuzzy(v)):
+                out.add(w)
+        return frozenset(out)
+
     def hit(self, word: str, common: frozenset[str], marked: bool = True) -> tuple[float, float]:
         """(weight of an exact or stem hit, weight of a misspelt hit) of one lower-case word."""
         w = word.strip(_EDGE)
@@ -223,7 +239,7 @@ def _features(terms: list[tuple[str, bool, float]], common: frozenset[str], near
         trie = Trie(terms, near)
 
         known: dict[str, tuple[float, float] | None] = {}
-        for b in slices(batches):
+        for b in slices(batches, most=SPLIT_BYTES):
             if len(known) > CACHE_WORDS:
                 known.clear()
             rows, texts = [], [t.lower().split() for t in b.column("text").to_pylist()]
@@ -359,6 +375,7 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     texts = ids_and_texts(docs)
     sample = _training_rows(texts, labels, stage)
     terms, common = learn_terms(sample)
+    common = Trie(terms).telling(common)  # a few words instead of all go to the tasks
     schema = "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES)
     run = _features(terms, common, near_weights(sample, terms, common))
     known = arrow_map(sample.select("doc_id", "text"), run, schema).join(sample.select("doc_id", "toxic").distinct(), "doc_id").toPandas()  # SAMPLE_ROWS at most
@@ -370,5 +387,11 @@ def scores(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, columns as in docs, that are not predicted toxic; rows with a null doc_id stay."""
-    return without(docs, scores(spark, docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct())
+    """The documents, columns as in docs, that are not predicted toxic; rows with a null doc_id stay.
+
+    The ids that go are a written table: no text is scored while whole documents are joined, and Spark knows how few there are.
+    """
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        gone = scores(spark, docs, labels).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
+        gone = Stage(spark, "toxic").keep(gone, "gone")
+    return without(docs, gone)

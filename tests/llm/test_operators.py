@@ -369,6 +369,40 @@ def test_trie_edits_of_long_terms_and_stems():
     assert not any(t.hit(w, none)[1] for w in ("achkeixyz", "achke", "ackit", "zzachkeit"))
 
 
+def test_toxicity_marks_many_words_in_little_memory():
+    import tracemalloc
+
+    rng = random.Random(16)
+    words = ["".join(rng.choices("abcdefgilmnorstu", k=rng.randint(3, 14))) for _ in range(200_000)] + ["morron", "clwn"]
+    t = toxicity.Trie([(w, False, 1.0) for w in toxicity.BUILT_IN])
+    tracemalloc.start()
+    marks = t.marks(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(marks) == len(words) and all(m or not t.may_be_fuzzy(w) for w, m in zip(words, marks)) and marks[-2:] == [True, True]
+    assert t.marks([]) == [] and peak < 32e6
+
+
+def test_toxicity_sends_only_common_words_that_tell():
+    rng = random.Random(17)
+    common = frozenset("".join(rng.choices("abcdefgilmnorstu", k=rng.randint(3, 9))) for _ in range(20_000)) | {"morron", "clwn", "losre"}
+    t = toxicity.Trie([(w, False, 1.0) for w in toxicity.BUILT_IN])
+    few = t.telling(common)
+    assert {"morron", "clwn", "losre"} <= few < common and 4 * len(few) < len(common)
+    words = [*common, "idoit", "stupidd", "m0ron", "«morron!", "scum"]
+    assert [t.hit(w, few) for w in words] == [t.hit(w, common) for w in words]
+
+
+def test_toxicity_scores_nothing_while_documents_are_joined(spark, docs, labels):
+    bad = spark.createDataFrame([(400, "you are a moron and all know it", "en", 1, 1, "k"), (400, "its copy", "en", 1, 1, "k")], SCHEMA)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    left = toxicity.accepted(spark, docs.unionByName(bad), labels.where("false"))
+    assert spark.conf.get(key) == before and left.columns == docs.columns
+    assert Counter(map(tuple, left.collect())) == Counter(map(tuple, docs.collect()))
+    assert "InArrow" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 def test_learned_terms_of_texts_that_share_frequent_words(spark):
     words = [r.w for r in spark.sql("select concat('wort', translate(id, '0123456789', 'abcdefghij')) w from range(300) order by xxhash64(w)").collect()]
     low, rest, rng = " ".join(words[:3]), words[3:], random.Random(13)
