@@ -7,20 +7,19 @@ into one cell of each, and a cell holds a count, the xor of its digests and the
 
 The returned fingerprint of a text is such a sketch of fixed size. Those of two texts are subtracted cell by cell, which
 cancels common digests, and peeling recovers those that differ: a cell whose check fits holds a single digest, which is
-taken out of its other cells, until nothing is left. If peeling gets stuck, a larger sketch is tried: digests are dealt
-out to several sketches by their leading bits, as many as an estimate of the difference asks for, and to eight times as
-many again and again until every pair is recovered. The likeness of two fingerprints is the share of common digests in
-all digests of the two (Jaccard), from the two counts and the number of recovered ones; it is 1 for equal digest sets.
-
-Rows are placed in ranges of doc_id by one shuffle of the texts, and all grouping is by range and row, so it stays in
-those partitions. Cells are plain grouped xor aggregates over exploded digests; only the last cells of a difference
-become arrays.
+taken out of its other cells, until nothing is left. Where peeling gets stuck, larger sketches of the texts are subtracted:
+these have a single table, the cell is a digest's leading bits, with so many cells for the square of what may differ that
+digests hardly ever meet in one; empty cells are not held. If some do, all 64 bits are taken. The likeness of two
+fingerprints is the share of common digests in all digests of the two (Jaccard), from the two counts and the number of
+recovered ones; it is 1 for equal digest sets.
+
+Rows are placed in ranges of doc_id by one shuffle of the texts, and their digests are a written table. All grouping is by
+range and row, so one shuffle of the digests serves it; cells are plain grouped xor aggregates over exploded digests, and
+only the cells of fingerprints become arrays.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,10 +28,9 @@ from .common import Stage, setting
 
 #: Code points of a piece, but for the last one of a text.
 SHORTEST, LONGEST = 24, 120
-#: Bits of a place in a subtable, for fingerprints and for larger sketches; differing digests wanted in one sketch.
-PRINT_BITS, PAIR_BITS, LOAD, LEAST, RETRY_LEVELS = 3, 6, 6, 16, 3
-#: Sketches by number: of the text, the edited and the next one; larger ones of both pairs; differences of fingerprints.
-TEXT, EDITED, NEXT, LARGE_EDITED, LARGE_NEXT, LESS_EDITED, LESS_NEXT = range(7)
+#: Bits of a place in a subtable of a fingerprint; bits of a larger sketch's cell beyond those of the square of its digests.
+PRINT_BITS, SPARE_BITS = 3, 12
+CELLS = 3 << PRINT_BITS
 #: Lets tables that are both placed by the range meet on range and row without another shuffle.
 _CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 
@@ -48,28 +46,13 @@ def _places(d: str, bits: int) -> list[str]:
     return [f"cast({i << bits} + (shiftrightunsigned({d}, {i * bits}) & {(1 << bits) - 1}) as int)" for i in range(3)]
 
 
-def level_sql(a: str, b: str) -> str:
-    """How many leading bits deal out the digests of a pair, from the shared ones among the least of both."""
-    shared = f"size(array_intersect(slice({a}, 1, {LEAST}), slice({b}, 1, {LEAST})))"
-    guess = f"(size({a}) + size({b})) * (1 - least(1D, {shared} / greatest(1, least({LEAST}, size({a}), size({b})))))"
-    return f"cast(ceil(log2(greatest(1D, {guess} / {LOAD}))) as int)"
-
-
-def _entries(p: int, digests: str, level: str = "0") -> str:
-    return f"transform({digests}, d -> named_struct('p', {p}, 'g', if({level} = 0, 0L, shiftrightunsigned(d, 64 - {level})), 'd', d))"
-
+def _sides(rows: DataFrame, *digests: str) -> DataFrame:
+    """(..., p, d): each row's digests of the arrays given, p is the array's place; a null for one without digests."""
+    keys = [c for c in rows.columns if c not in ("a", "e", "x")]
+    return rows.select(*keys, F.posexplode(F.array(*digests)).alias("p", "ds")).select(*keys, "p", F.explode_outer("ds").alias("d"))
 
-def _cells(rows: DataFrame, entries: list[str]) -> DataFrame:
-    """(b, r, p, g, cells array<struct<j, c, k, s>>): what each sketch holds, those of a pair subtracted; rows are placed by b."""
-    e = rows.select("b", "r", F.expr(f"explode(concat({', '.join(entries)}))").alias("e")).select("b", "r", "e.p", "e.g", "e.d", F.xxhash64("e.d").alias("h"))
-    small, large = (F.array(*map(F.expr, _places("d", bits))) for bits in (PRINT_BITS, PAIR_BITS))
-    e = e.select("b", "r", "p", "g", "d", "h", F.explode(F.when(F.col("p") <= NEXT, small).otherwise(large)).alias("j"))
-    cells = e.groupBy("b", "r", "p", "g", "j").agg(F.count(F.lit(1)).alias("c"), F.bit_xor("d").alias("k"), F.bit_xor("h").alias("s"))
-    kept = cells.where((F.col("p") <= NEXT) | (F.col("k") != 0) | (F.col("s") != 0))
-    return kept.groupBy("b", "r", "p", "g").agg(F.array_sort(F.collect_list(F.struct("j", "c", "k", "s"))).alias("cells"))
 
-
-def peel_sql(cells: str, bits: int = PAIR_BITS) -> str:
+def peel_sql(cells: str, bits: int = PRINT_BITS) -> str:
     """How many digests peeling recovers from the cells of a difference; null if it gets stuck."""
     keys = "array_distinct(transform(filter(st.cells, x -> xxhash64(x.k) = x.s), x -> x.k))"
     j0, j1, j2 = _places("d", bits)
@@ -81,27 +64,45 @@ def peel_sql(cells: str, bits: int = PAIR_BITS) -> str:
     return f"aggregate(sequence(1, 24), {start}, (st, r) -> if(st.go, {step}, st), st -> if(st.go, cast(null as int), st.n))"
 
 
-def _found(cells: DataFrame) -> DataFrame:
-    """The fingerprints, the number of digests in each, and of each difference the number recovered, null if stuck."""
-    n = F.expr(f"if(p >= {LARGE_EDITED}, {peel_sql('cells')}, null)")
-    held = F.expr(f"if(p <= {NEXT}, aggregate(filter(cells, x -> x.j < {1 << PRINT_BITS}), 0L, (a, x) -> a + x.c), null)")
-    hexed = "transform(cells, x -> concat(lpad(hex(x.j), 2, '0'), lpad(hex(x.c), 8, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.s), 16, '0')))"
-    at = cells.select("b", "r", "p", "g", n.alias("n"), held.alias("held"), F.expr(f"if(p <= {NEXT}, cells, null)").alias("cells"))
-    only = lambda p, c: F.when(F.col("p") == p, F.col(c))
-    counts = [F.coalesce(F.max(only(p, "held")), F.lit(0)).alias(f"n{p}") for p in (TEXT, EDITED, NEXT)]
-    recovered = [F.when(F.count_if((F.col("p") == p) & F.col("n").isNull()) == 0, F.coalesce(F.sum(only(p, "n")), F.lit(0))).alias(f"d{p}") for p in (LARGE_EDITED, LARGE_NEXT)]
-    none = F.array().cast("array<struct<j:int,c:bigint,k:bigint,s:bigint>>")
-    sketches = [F.coalesce(F.first(only(p, "cells"), ignorenulls=True), none).alias(f"cells{p}") for p in (TEXT, EDITED, NEXT)]
-    row = at.groupBy("b", "r").agg(*sketches, *counts, *recovered)
-    prints = [F.expr(f"unhex(array_join({hexed.replace('(cells,', f'(cells{p},')}, ''))").alias(f"print{p}") for p in (TEXT, EDITED)]
-    less = [F.expr(f"element_at(transform(array({less_sql(f'cells{TEXT}', f'cells{p}')}), x -> {peel_sql('x', PRINT_BITS)}), 1)").alias(f"d{d}") for p, d in ((EDITED, LESS_EDITED), (NEXT, LESS_NEXT))]
-    return row.select("b", "r", *(f"n{p}" for p in (TEXT, EDITED, NEXT)), f"d{LARGE_EDITED}", f"d{LARGE_NEXT}", *prints, *less)
-
-
-def less_sql(a: str, b: str) -> str:
-    """The cells of one fingerprint less those of another, without empty ones; xor adds and subtracts."""
-    folded = f"aggregate(filter(concat({a}, {b}), x -> x.j = i), named_struct('j', i, 'k', 0L, 's', 0L), (st, x) -> named_struct('j', st.j, 'k', st.k ^ x.k, 's', st.s ^ x.s))"
-    return f"filter(transform(sequence(0, {3 * (1 << PRINT_BITS) - 1}), i -> {folded}), x -> x.k != 0L or x.s != 0L)"
+def _prints(rows: DataFrame) -> DataFrame:
+    """(b, r, n0, n1, n2, print0, print1, d0, d1) of rows (b, r, guest, a, e): the numbers of digests of the text, the edited
+    and the next one, the first two's fingerprints, and what peeling recovers of the text's less the other two's, null if stuck."""
+    places = [F.expr(p).alias(f"j{i}") for i, p in enumerate(_places("d", PRINT_BITS))]
+    e = _sides(rows.select("b", "r", "guest", "a", "e"), "a", "e").select("b", "r", "guest", "p", "d", F.xxhash64("d").alias("h"), *places)
+    here = [F.col(f"j{j >> PRINT_BITS}") == j for j in range(CELLS)]
+    cells = e.groupBy("b", "r", "guest", "p").agg(
+        F.count("d").alias("n"),
+        *(F.count_if(x).alias(f"c{j}") for j, x in enumerate(here)),
+        *(F.bit_xor(F.when(x, F.col(v)).otherwise(F.lit(0))).alias(f"{k}{j}") for k, v in (("k", "d"), ("s", "h")) for j, x in enumerate(here)),
+    )
+    dense = cells.select("b", "r", "guest", "p", "n", *(F.array(*(f"{k}{j}" for j in range(CELLS))).alias(k) for k in "cks"))
+    # each row's text and edited text follow one another, then the next row's text
+    order = W.partitionBy("b").orderBy("r", "p")
+    at = {x: [f"{x}0", f"{x}1", f"{x}2"] for x in "ncks"}
+    near = dense.select("*", *(F.lead(x, k).over(order).alias(at[x][k]) for k in (1, 2) for x in "ncks"))
+    near = near.where("p = 0 and guest = 0").withColumnsRenamed({x: at[x][0] for x in "ncks"})
+    hexed = "transform(filter(sequence(0, {last}), j -> c{p}[j] > 0), j -> concat(lpad(hex(j), 2, '0'), lpad(hex(c{p}[j]), 8, '0'), lpad(hex(k{p}[j]), 16, '0'), lpad(hex(s{p}[j]), 16, '0')))"
+    prints = [F.expr(f"unhex(array_join({hexed.format(p=p, last=CELLS - 1)}, ''))").alias(f"print{p}") for p in (0, 1)]
+    return near.select("b", "r", *at["n"], *prints, *(F.expr(less_sql(p)).alias(f"d{p - 1}") for p in (1, 2)))
+
+
+def less_sql(p: int) -> str:
+    """How many digests peeling recovers from the cells of fingerprint 0 less those of p; null if it gets stuck, as it must with more digests than cells."""
+    less = f"filter(transform(sequence(0, {CELLS - 1}), j -> named_struct('j', j, 'k', k0[j] ^ k{p}[j], 's', s0[j] ^ s{p}[j])), x -> x.k != 0L or x.s != 0L)"
+    return f"if(abs(n0 - n{p}) > {CELLS}, null, transform(array({less}), x -> if(size(x) = 0, 0, {peel_sql('x')}))[0])"
+
+
+def _larger(rows: DataFrame, whole: bool) -> DataFrame:
+    """(b, r, x0, x1) of rows (b, r, a, e, x): how many digests the larger sketches of a and e, and of a and x, differ by; null
+    if digests meet in a cell. whole: cells of all 64 bits."""
+    bits = F.lit(64) if whole else F.least(F.lit(64), F.ceil(2 * F.log2(F.size("a") + F.size("e") + F.size("x") + F.lit(1))) + SPARE_BITS)
+    e = _sides(rows.select("b", "r", bits.cast("int").alias("bits"), "a", "e", "x"), "a", "e", "x").where("d is not null")
+    e = e.select("b", "r", "p", "d", F.xxhash64("d").alias("h"), F.expr("if(bits = 64, d, shiftrightunsigned(d, 64 - bits))").alias("g"))
+    pair = lambda p, v: F.bit_xor(F.when(F.col("p").isin(0, p), F.col(v)).otherwise(F.lit(0)))
+    cells = e.groupBy("b", "r", "g").agg(*(pair(p, v).alias(f"{k}{p}") for p in (1, 2) for k, v in (("k", "d"), ("s", "h"))))
+    held = lambda p: (F.col(f"k{p}") != 0) | (F.col(f"s{p}") != 0)
+    met = lambda p: held(p) & (F.xxhash64(f"k{p}") != F.col(f"s{p}"))
+    return cells.groupBy("b", "r").agg(*(F.when(F.count_if(met(p)) == 0, F.count_if(held(p))).alias(f"x{p - 1}") for p in (1, 2)))
 
 
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
@@ -159,35 +160,29 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
     near = with_next(rows, parts).withColumn("r", F.row_number().over(_order()))
     third = "cast(floor(length(text) / 3) as int)"
     edited = F.concat(F.expr(f"left(text, length(text) - {third})"), F.expr(f"left(next, {third})"))
-    own = near.where("guest = 0")
-    heads = stage.keep(own.select("b", "r", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256")), "heads")
-
-    def sides(texts: DataFrame, next_pieces: F.Column, more: int) -> DataFrame:
-        all_three = texts.select("b", "r", F.expr(pieces_sql("text")).alias("a"), edited.alias("edited"), next_pieces.alias("x")).withColumn("e", F.expr(pieces_sql("edited"))).drop("edited")
-        return all_three.withColumn("le", F.expr(f"{level_sql('a', 'e')} + {more}")).withColumn("lx", F.expr(f"{level_sql('a', 'x')} + {more}"))
-
-    prints = [_entries(TEXT, "a"), _entries(EDITED, "e"), _entries(NEXT, "x")]
-    pairs = [_entries(LARGE_EDITED, "a", "le"), _entries(LARGE_EDITED, "e", "le"), _entries(LARGE_NEXT, "a", "lx"), _entries(LARGE_NEXT, "x", "lx")]
-    found = stage.keep(_found(_cells(sides(own, F.expr(pieces_sql("next")), 0), prints + pairs)), "found")
-    done = [f"coalesce(d{less}, d{large})" for less, large in ((LESS_EDITED, LARGE_EDITED), (LESS_NEXT, LARGE_NEXT))]
-    done = found.select("b", "r", *[F.col(f"n{p}") for p in (TEXT, EDITED, NEXT)], *[F.col(f"print{p}") for p in (TEXT, EDITED)], *map(F.expr, (f"{d} as d{k}" for k, d in enumerate(done))))
-    for k in count(1):
+    near = near.withColumn("edited", F.when(F.col("guest") == 0, edited))  # of a guest only the text counts
+    columns = [F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.expr(pieces_sql("text")).alias("a"), F.expr(pieces_sql("edited")).alias("e")]
+    sides = stage.keep(near.select("b", "r", "guest", "doc_id", *columns), "sides")
+    placed = sides.select("b", "r", "guest", "a", "e").repartition(parts, "b")
+    done = stage.keep(_prints(placed), "prints")
+    follow = W.partitionBy("b").orderBy("r")
+    pairs = placed.withColumn("x", F.lead("a").over(follow)).where("guest = 0")
+    for whole in (False, True):
         stuck = done.where("d0 is null or d1 is null").select("b", "r")
         if stuck.isEmpty():
             break
         with setting(spark, _CO_PARTITION, "false"):
-            again = own.join(stuck.repartition(parts, "b").hint("merge"), ["b", "r"], "left_semi")
-            larger = _found(_cells(sides(again, F.expr(pieces_sql("next")), min(60, RETRY_LEVELS * k)), pairs))
-            larger = stage.keep(larger.select("b", "r", F.col(f"d{LARGE_EDITED}").alias("x0"), F.col(f"d{LARGE_NEXT}").alias("x1")), f"again{k}")
+            again = pairs.join(stuck.repartition(parts, "b").hint("merge"), ["b", "r"], "left_semi")
+            larger = stage.keep(_larger(again, whole), f"larger{int(whole)}")
         done = done.join(larger, ["b", "r"], "left").withColumn("d0", F.coalesce("d0", "x0")).withColumn("d1", F.coalesce("d1", "x1")).drop("x0", "x1")
-    out = heads.join(done, ["b", "r"], "left").fillna(0, ["d0", "d1", *(f"n{p}" for p in (TEXT, EDITED, NEXT))])
+    out = sides.where("guest = 0").select("b", "r", "doc_id", "n_chars", "edited_sha256").join(done, ["b", "r"])
     text = lambda p: F.concat_ws("-", F.hex(f"n{p}"), F.coalesce(F.base64(f"print{p}"), F.lit("")))
     return out.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        text(TEXT).alias("fingerprint"),
-        text(EDITED).alias("edited_fingerprint"),
-        _likeness(f"n{TEXT}", f"n{EDITED}", "d0").alias("near_edited"),
-        _likeness(f"n{TEXT}", f"n{NEXT}", "d1").alias("near_next"),
+        text(0).alias("fingerprint"),
+        text(1).alias("edited_fingerprint"),
+        _likeness("n0", "n1", "d0").alias("near_edited"),
+        _likeness("n0", "n2", "d1").alias("near_next"),
     )

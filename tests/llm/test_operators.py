@@ -12,6 +12,7 @@ pytest.importorskip("public_tokenizers")
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievewright.llm import chat_format, decontamination, fingerprints, license_scan, lm_scoring, packing, simhash, substring_dedup, token_counts, toxicity
@@ -491,3 +492,26 @@ def test_token_units(text):
     pieces = [names[p] for u in parts for p in units.of[units.ends[u] : units.ends[u + 1]]]
     assert sorted("".join(pieces)) == sorted(text)
     assert sum(len(t.encode(p, add_special_tokens=False).ids) for p in pieces) == len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_fingerprints_enter_each_digest_a_few_times(spark, docs, monkeypatch):
+    texts = [" ".join(f"w{(i * 7 + j * j) % 997} on" for j in range(60 * (i + 1))) for i in range(12)]
+    table = docs.unionByName(spark.createDataFrame([(400 + i, t, "en", 1, 1, "k") for i, t in enumerate(texts)], SCHEMA))
+    held = table.select(F.expr(f"size({fingerprints.pieces_sql('text')})").alias("n")).agg(F.sum(F.greatest("n", F.lit(0)))).first()[0]
+    sides, entered = fingerprints._sides, []
+
+    def counted(rows, *digests):
+        out = sides(rows, *digests)
+        entered.append(out.count())
+        return out
+
+    monkeypatch.setattr(fingerprints, "_sides", counted)
+    fields = ["doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = Counter(map(tuple, fingerprints.fingerprints(spark, table).select(*fields).collect()))
+    # text and edited text once for fingerprints, both and the next text once for larger sketches; a row without digests is a null
+    assert sum(entered) <= 5.5 * held + 3 * table.count()
+    # cells in which digests meet: those of all bits tell them apart
+    monkeypatch.setattr(fingerprints, "SPARE_BITS", -9)
+    entered.clear()
+    assert Counter(map(tuple, fingerprints.fingerprints(spark, table).select(*fields).collect())) == got
+    assert len(entered) == 3
