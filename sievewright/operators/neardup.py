@@ -2,38 +2,35 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import reading
-from ..functions.text import shingles
 from .batches import by_document
 
+#: Pairs of a document that are Python objects at once.
+PIECE_PAIRS = 10_000
+
 
 def similar_pairs(segments: DataFrame, threshold: float = 0.8, shingle_size: int = 5, key: str = "doc_id") -> DataFrame:
     """(key, kind, i, j, jaccard), i < j: segments of one kind whose shingle sets are similar enough (threshold > 0).
 
-    An equi-join on document, kind and shingle, with sizes too unlike ruled out before anything is counted.
+    One shuffle of the segments by document; pairs meet in the shingles that they share, and nothing but pairs that are
+    similar enough leaves a document. Null keys and kinds have no pairs.
     """
-    sets = _sets(segments, shingle_size, key)
-    return _pairs(sets, threshold, key)
-
-
-def _sets(segments: DataFrame, shingle_size: int, key: str) -> DataFrame:
-    found = segments.select(key, "kind", "index", shingles("text", shingle_size).alias("s"))
-    # no words: a set of its own that equals only other such sets
-    return found.select(key, "kind", "index", F.when(F.size("s") == 0, F.array(F.lit(""))).otherwise(F.array_sort("s")).alias("s"))
+    if shingle_size < 1:
+        raise ValueError("shingle_size must be at least 1")
 
+    def found(index: list[int], kinds: list[str], texts: list[str]) -> Iterator[tuple[list, ...]]:
+        pairs = reading.alike([*zip(kinds, texts)], threshold, shingle_size)
+        while part := [*islice(pairs, PIECE_PAIRS)]:
+            yield [a for a, _, _ in part], [index[a] for a, _, _ in part], [index[b] for _, b, _ in part], [x for _, _, x in part]
 
-def _pairs(sets: DataFrame, threshold: float, key: str) -> DataFrame:
-    rows = sets.select(key, "kind", "index", F.size("s").alias("n"), F.explode("s").alias("w"))
-    a = rows.select(key, "kind", "w", F.col("index").alias("i"), F.col("n").alias("ni"))
-    b = rows.select(key, "kind", "w", F.col("index").alias("j"), F.col("n").alias("nj"))
-    met = a.join(b, [key, "kind", "w"]).where((F.col("i") < F.col("j")) & (F.least("ni", "nj") / F.greatest("ni", "nj") >= F.lit(float(threshold))))
-    shared = met.groupBy(key, "kind", "i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("c"))
-    likeness = F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))
-    return shared.select(key, "kind", "i", "j", likeness.alias("jaccard")).where(F.col("jaccard") >= F.lit(float(threshold)))
+    known = segments.where(F.col(key).isNotNull() & F.col("kind").isNotNull())
+    return by_document(known, key, ("index", "kind", "text"), found, (key, "kind"), "i int, j int, jaccard double")
 
 
 def near_duplicates(segments: DataFrame, threshold: float = 0.8, shingle_size: int = 5, key: str = "doc_id") -> DataFrame:
@@ -44,12 +41,10 @@ def near_duplicates(segments: DataFrame, threshold: float = 0.8, shingle_size: i
     if shingle_size < 1:
         raise ValueError("shingle_size must be at least 1")
 
-    def found(t: pa.Table) -> pa.Table:
-        t = t.sort_by("index")
-        gone = reading.repeats([*zip(t.column("kind").to_pylist(), t.column("text").to_pylist())], threshold, shingle_size)
-        return t.select([key, "index"]).take(pa.array(sorted(gone), pa.int64()))
+    def found(kinds: list[str], texts: list[str]) -> tuple[list[int]]:
+        return (sorted(reading.repeats([*zip(kinds, texts)], threshold, shingle_size)),)
 
-    return by_document(segments.select(key, "index", "kind", "text"), key, found, (key, "index"))
+    return by_document(segments, key, ("kind", "text"), found, (key, "index"))
 
 
 def dedupe_segments(segments: DataFrame, threshold: float = 0.8, shingle_size: int = 5, key: str = "doc_id") -> DataFrame:
@@ -57,9 +52,8 @@ def dedupe_segments(segments: DataFrame, threshold: float = 0.8, shingle_size: i
     if shingle_size < 1:
         raise ValueError("shingle_size must be at least 1")
 
-    def kept(t: pa.Table) -> pa.Table:
-        t = t.sort_by("index")
-        gone = reading.repeats([*zip(t.column("kind").to_pylist(), t.column("text").to_pylist())], threshold, shingle_size)
-        return t.take(pa.array([k for k in range(t.num_rows) if k not in gone], pa.int64()))
+    def kept(kinds: list[str], texts: list[str]) -> tuple[list[int]]:
+        gone = reading.repeats([*zip(kinds, texts)], threshold, shingle_size)
+        return ([k for k in range(len(texts)) if k not in gone],)
 
-    return by_document(segments, key, kept, segments.columns)
+    return by_document(segments, key, ("kind", "text"), kept, segments.columns)

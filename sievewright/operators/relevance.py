@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,10 +30,10 @@ def document_frequency(segments: DataFrame, key: str = "doc_id") -> DataFrame:
 def score_segments(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, index, score): the mean idf of a segment's words among its document's segments; no words: 0."""
 
-    def scored(t: pa.Table) -> pa.Table:
-        return t.select([key, "index"]).append_column("score", pa.array(reading.scores(t.column("text").to_pylist()), pa.float64()))
+    def scored(texts: list[str]) -> tuple[range, list[float]]:
+        return range(len(texts)), reading.scores(texts)
 
-    return by_document(segments.select(key, "index", "text"), key, scored, (key, "index"), "score double")
+    return by_document(segments, key, ("text",), scored, (key, "index"), "score double")
 
 
 def greedy_keep(items: Column, budget: Column) -> Column:
@@ -53,12 +52,10 @@ def select_by_score(segments: DataFrame, budget: int, scores: DataFrame | None =
     can be given in place of TF-IDF scores, where a segment without one scores 0."""
     if scores is None:
 
-        def chosen(t: pa.Table) -> pa.Table:
-            t = t.sort_by("index")
-            rows = [reading.Segment(i, "", 0, 0, n, x) for i, n, x in zip(*(t.column(c).to_pylist() for c in ("index", "tokens", "text")))]
-            return t.take(pa.array(reading.best(rows, budget), pa.int64()))
+        def chosen(index: list[int], tokens: list[int], texts: list[str]) -> tuple[list[int]]:
+            return (reading.best([reading.Segment(i, "", 0, 0, n, x) for i, n, x in zip(index, tokens, texts)], budget),)
 
-        return by_document(segments, key, chosen, segments.columns)
+        return by_document(segments, key, ("index", "tokens", "text"), chosen, segments.columns)
     scored = segments.select(key, "index", "tokens").join(scores.select(key, "index", "score"), [key, "index"], "left")
     order = -F.coalesce("score", F.lit(0.0))
     items = F.array_sort(F.collect_list(F.struct(order.alias("order"), F.col("index").alias("place"), F.col("tokens").cast("long").alias("cost"))))

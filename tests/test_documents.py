@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +120,61 @@ def test_write_texts(spark, tmp_path):
 
     write_texts(docs(spark, ["abc", "d\ne\n"]).coalesce(1), f"{tmp_path}/out")
     assert "".join(p.read_text() for p in sorted(tmp_path.glob("out/part*"))) == "abc\nd\ne\n"
+
+
+def test_batches_of_documents():
+    from sievewright.operators import batches
+
+    lengths = [1, 3, 2500, 2, 1, 1, 4000, 5]
+    place = [k for n in lengths for k in range(1, n + 1)]
+    for step in (1, 2, 7, 1000, 2600, 9999):
+        given = [pa.RecordBatch.from_pydict({"place": place[i : i + step], "at": [*range(i, min(i + step, len(place)))]}) for i in range(0, len(place), step)]
+        seen, sizes = [], []
+        for b, ends in batches._documents(given, "place"):
+            seen += b.column("at").to_pylist()
+            sizes += [e - s for s, e in zip(ends, ends[1:])]
+            assert b.num_rows <= batches.PIECE_ROWS or len(ends) == 2
+        assert seen == [*range(len(place))] and sizes == lengths
+
+
+def test_by_document_with_parts_and_null_keys(spark):
+    from sievewright.operators.batches import by_document
+
+    rows = [(k, i, f"{k}-{i}") for k in (None, 1, 2) for i in (2, 0, 1)]
+    s = spark.createDataFrame(rows, "place long, index int, text string")
+    f = lambda index, texts: (([k, k], [x, x], [len(texts)] * 2) for k, x in zip(index, texts))
+    got = by_document(s, "place", ("index", "text"), f, ("place", "index"), "t string, n long").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((k, i, t, 3)) for k, i, t in rows for _ in range(2))
+
+
+def test_arrays_of_estimates_are_bounded(monkeypatch):
+    from sievewright.functions import reading
+
+    costs, most = reading.run_costs, []
+    monkeypatch.setattr(reading, "run_costs", lambda texts: most.append(sum(map(len, texts))) or costs(texts))
+    texts = ["word 1 " * n for n in (0, 20_000, 1, 30_000, 5, 0, 60_000, 2)]
+    got = reading.tokens_of(texts)
+    assert max(most) <= 420_000 and len(most) > 2
+    monkeypatch.undo()
+    assert got == [reading.tokens(t) for t in texts]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("threshold,size", [(0.8, 5), (0.3, 1), (0.5, 2)])
+def test_similar_pairs(spark, threshold, size):
+    rng = random.Random(7)
+    texts = ["\n\n".join(" ".join(rng.choices("abc", k=rng.randint(1, 5))) for _ in range(12)) for _ in range(30)] + ["", "x y z w\n\n```\nx y z w\n```", "a b\n\n" * 40]
+    d = docs(spark, texts).unionByName(spark.createDataFrame([(None, "a b\n\na b")], "doc_id long, text string"))
+    s = segments.split_segments(d)
+    found = neardup.similar_pairs(s, threshold, size)
+    # no join of shingles, which took one side for small and sent it to the driver; one shuffle
+    assert "Join" not in _plan(found) and _plan(found).count("Exchange hashpartitioning") == 1
+    got = sorted(map(tuple, found.collect()))
+    want = []
+    for n, t in enumerate(texts):
+        sets = [(kind, set(R.shingles(x, size)) or {""}) for _, kind, _, _, _, x in R.segments(t)]
+        want += [(n, k, i, j, len(a & b) / len(a | b)) for i, (k, a) in enumerate(sets) for j, (kind, b) in enumerate(sets) if i < j and k == kind and a & b and len(a & b) / len(a | b) >= threshold]
+    assert got == sorted(want)
