@@ -147,6 +147,24 @@ def test_by_document_with_parts_and_null_keys(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(str((k, i, t, 3)) for k, i, t in rows for _ in range(2))
 
 
+def test_texts_are_cut_piece_by_piece(spark, monkeypatch):
+    from sievewright.functions import reading
+    from sievewright.operators import batches
+
+    texts = [None, "", "one\n\ntwo", *(f"é {i} word{' many' * 200}\n\n" * 500 for i in range(8)), ("x" * 999 + "\n\n") * 1200, None, "end"]
+    some = pa.RecordBatch.from_pydict({"doc_id": [*range(len(texts))], "text": texts})
+    assert pa.Table.from_batches(batches.pieces([some.slice(1), some.slice(0, 0)])) == pa.Table.from_batches([some.slice(1)])
+    cut, most = reading.segments_of, []
+    monkeypatch.setattr(reading, "segments_of", lambda texts: most.append(sum(len(t.encode()) for t in texts if len(t) < 1 << 20)) or cut(texts))
+    listed = segments._listed(some.column("text"))
+    assert listed.to_pylist() == [[x._asdict() for x in f] for f in cut([t or "" for t in texts])]
+    assert max(most) <= batches.PIECE_BYTES and len(most) > 4
+    # an explode of a function's array was answered by calling it twice
+    counted = segments.split_segments(docs(spark, texts)).groupBy("doc_id").count()
+    assert "Python" not in _plan(counted) and _plan(counted).count("MapInArrow") == 1
+    assert sorted(map(tuple, counted.collect())) == [(i, len(f)) for i, f in enumerate(listed.to_pylist()) if f]
+
+
 def test_arrays_of_estimates_are_bounded(monkeypatch):
     from sievewright.functions import reading
 
