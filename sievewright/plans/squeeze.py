@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..functions import reading
 from ..functions.text import estimate_tokens, truncate_to_tokens
+from ..operators.batches import pieces
 from ..operators.neardup import dedupe_segments
 from ..operators.relevance import head_tail, select_by_score
 from ..operators.segments import SEPARATOR, split_segments
@@ -122,7 +123,7 @@ def _squeezed(names: list[str], marker: bool, key: str, options: dict) -> Callab
     budget, kinds = options["budget"], [pa.string(), *[pa.int32()] * 4, pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             texts = b.column("text").to_pylist()
             segments = reading.segments_of(texts)
             made = [_shortened(s, names, marker, options) for s in segments]

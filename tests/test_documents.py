@@ -165,6 +165,21 @@ def test_texts_are_cut_piece_by_piece(spark, monkeypatch):
     assert sorted(map(tuple, counted.collect())) == [(i, len(f)) for i, f in enumerate(listed.to_pylist()) if f]
 
 
+def test_squeeze_works_piece_by_piece(monkeypatch):
+    from sievewright.functions import reading
+    from sievewright.operators import batches
+    from sievewright.plans import squeeze as S
+
+    texts = [f"{i} word{' many' * 200}\n\n" * 60 for i in range(60)] + ["", "one\n\ntwo"]
+    some = pa.RecordBatch.from_pydict({"doc_id": [*range(len(texts))], "text": texts})
+    cut, most = reading.segments_of, []
+    monkeypatch.setattr(reading, "segments_of", lambda texts: most.append(sum(map(len, texts))) or cut(texts))
+    run = S._squeezed(["score"], True, "doc_id", {"budget": 600, "head_ratio": 0.5, "jaccard": 0.8, "shingle_size": 5})
+    many = pa.Table.from_batches(run(iter([some])))
+    assert max(most) <= batches.PIECE_BYTES and len(most) > 3
+    assert many.to_pylist() == [r for k in range(len(texts)) for b in run(iter([some.slice(k, 1)])) for r in b.to_pylist()]
+
+
 def test_arrays_of_estimates_are_bounded(monkeypatch):
     from sievewright.functions import reading
 
