@@ -75,7 +75,6 @@ def shingles(text: Column | str, size: int = 5) -> Column:
         return F.array_distinct(words(text))
 
     def cut(w: Column) -> Column:
-        # words by place: slice copies the whole array at every call
         many = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.concat_ws(" ", *(F.get(w, i + k) for k in range(size)))))
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= size, F.array(F.array_join(w, " "))).otherwise(many)
 
